@@ -6,24 +6,65 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dup, suffix_dup
+from . import bpe, decontaminate, lattice, line_dup, near_dup, quality, suffix_dup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.selected(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dup.drop_boilerplate(table(spark, sf_dir, "documents"), count_col="n_dropped").select("doc_id", "source", "text", "n_dropped")
+
+
+OP3_SQL = f"""
+WITH split AS (
+    SELECT doc_id, source, text, string_split(text, chr(10)) AS parts FROM documents
+), seen AS (
+    SELECT source, line, count(*) AS c
+    FROM (SELECT DISTINCT doc_id, source, trim(part) AS line FROM (SELECT doc_id, source, unnest(parts) AS part FROM split))
+    WHERE line <> '' AND source IS NOT NULL GROUP BY source, line
+), total AS (
+    SELECT source, count(*) AS n FROM documents GROUP BY source
+), bad AS (
+    SELECT source, list(line) AS lines FROM seen JOIN total USING (source)
+    WHERE c >= {line_dup.MIN_PAGES} AND c::DOUBLE / n::DOUBLE > {line_dup.RATIO}::DOUBLE GROUP BY source
+), kept AS (
+    SELECT doc_id, split.source, text, parts, list_filter(parts, lambda x: NOT list_contains(coalesce(lines, []), trim(x))) AS good
+    FROM split LEFT JOIN bad ON split.source = bad.source
+)
+SELECT doc_id, source, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(good, chr(10)), '') END AS text,
+       coalesce(len(parts) - len(good), 0)::BIGINT AS n_dropped FROM kept
+"""
+
+
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"))
+
+
+def op9_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.language_model(table(spark, sf_dir, "documents"))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_suffix_array_dedup, op10_near_duplicates)}
+    return {f.__name__: f for f in (op1_quality_resampling, op3_line_dedup, op4_suffix_array_dedup, op6_benchmark_decontamination, op7_bpe_tree, op9_lattice_likelihood, op10_near_duplicates)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": OP3_SQL}
