@@ -26,7 +26,7 @@ def host_of(url: Column) -> Column:
 def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, lines): the 64-bit hashes of each host's boilerplate lines."""
     p = pages.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).where("host IS NOT NULL")
-    hashes = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    hashes = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x)))
     seen = p.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("c")).where(F.col("c") >= min_pages)
     total = p.groupBy("host").agg(F.count("*").alias("n"))
     return seen.join(total, "host").where(F.col("c") / F.col("n") > ratio).groupBy("host").agg(F.collect_list("line").alias("lines"))
