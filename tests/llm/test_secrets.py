@@ -1,0 +1,63 @@
+import base64
+import hashlib
+import re
+
+import numpy as np
+from conftest_llm import ODD
+
+from leafmill.llm import secrets
+
+
+def random_secret(i):
+    d = hashlib.sha256(str(i).encode())
+    return d.hexdigest()[:40] if i % 2 else base64.b64encode(d.digest()).decode().rstrip("=")
+
+
+FORMS = ['token = "{}"', "API_KEY: '{}'", "Authorization: Bearer {}", 'password="{}"', "client_secret => {}", '"aws_secret_key": "{}"']
+
+
+def test_planted_secrets_and_no_others(make, prose):
+    rows, planted = [], {}
+    for i in range(120):
+        words = prose(80, i)
+        if i % 3 == 0:
+            s = random_secret(i)
+            words.insert(i % 60, FORMS[i % 6].format(s))
+            planted[i] = s
+        elif i % 3 == 1:  # random without a sensitive name, and sensitive names with ordinary values
+            words.insert(5, f"commit {hashlib.sha1(str(i).encode()).hexdigest()}")
+            words.insert(9, 'password = "' + ["aaaaaaaaaaaaaaaaaaaaaaaa", "your_api_key_example_token", "00000000000000000000", "authentication_access_token"][i % 4] + '"')
+        rows.append((i, " ".join(words)))
+    got = secrets.secrets(make(rows + ODD)).collect()
+    assert {r.doc_id for r in got} == set(planted)
+    text = dict(rows)
+    for r in got:
+        assert text[r.doc_id][r.start : r.start + r.length] == planted[r.doc_id]
+        assert r.masked == planted[r.doc_id][:4] + "*" * (r.length - 4)
+
+
+def test_candidates_against_one_regular_expression(prose):
+    rng = np.random.default_rng(0)
+    parts = ["token", "=", ":", " ", '"', "key", "a" * 16, "B4-_/+" * 4, "é", "x" * 15, "bearer", "\n", "secret"]
+    for _ in range(400):
+        text = "".join(rng.choice(parts, 12)).encode()
+        buf = np.frombuffer(text, np.uint8)
+        got = [(a, b) for _, a, b, _ in secrets.candidates(buf, np.array([0, len(buf)]))]
+        want = [(m.start(), m.end()) for m in re.finditer(rb"[A-Za-z0-9+/_-]+", text) if m.end() - m.start() >= 16 and secrets._BEFORE.search(text[max(0, m.start() - 64) : m.start()])]
+        assert got == want
+
+
+def test_a_repeated_secret_is_found_each_time(make):
+    s = random_secret(1)
+    got = secrets.secrets(make([(1, f'é token = "{s}" and token = "{s}"'), (1, f'token = "{s}"')])).collect()
+    assert len(got) == 3 and sorted(r.start for r in got) == [9, 11, 66]
+
+
+def test_empty_table(make):
+    assert secrets.secrets(make([])).collect() == []
+
+
+def test_dictionary_makes_its_words_cheap():
+    plain, primed = secrets.Meter(b"nothing here at all"), secrets.Meter(secrets.dictionary([b"thedanblewhonly"]))
+    word = b"thedanblewhonly_access_token"
+    assert primed.marginal(b'key = "', word, b'"') < 0.6 * plain.marginal(b'key = "', word, b'"')
