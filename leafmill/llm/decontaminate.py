@@ -5,7 +5,8 @@ within edit distance k = floor(max_edit * n) of it (insertions, deletions and
 substitutions of words).
 
 1. *Necessary condition.*  k edits change at most 2k of an item's n - 1 word 2-grams, so a
-   window of n words at the match holds at least n - 1 - 2k of the benchmark's 2-grams.
+   window of n words at the match holds at least n - 1 - 2k of the 2-grams of the items of
+   n words.
    Windows below that are passed over; none that could match is.
 2. *Embedding.*  The others go through the CGK random walk, which maps edit distance to
    Hamming distance: step t copies the current word and moves on by a random bit of
@@ -37,7 +38,6 @@ RECALL = 0.95
 SAMPLE = 4
 #: Items whose index a task holds at once (some 4 MB); a larger benchmark takes one pass a block.
 BLOCK = 20_000
-_BITS = 22
 
 
 def edited(words: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -85,7 +85,7 @@ def tables(words: np.ndarray, n: int, k: int, repeat: int) -> Iterator[np.ndarra
     """For each repetition, the LSH key of every row of n words."""
     for r in range(repeat):
         rng = np.random.default_rng([n, r])
-        steps = rng.choice(3 * n, min(SAMPLE, 3 * n), replace=False) if k else np.arange(3 * n)
+        steps = rng.choice(2 * n, min(SAMPLE, 2 * n), replace=False) if k else np.arange(2 * n)  # later ones are mostly past the end
         key = np.full(len(words), U64(r + 1))
         for column in embed(words, n, 1000 * n + r, steps).T:
             key = tx.mix(key * U64(31) + column)
@@ -118,7 +118,6 @@ class Index:
         self.edits = {n: int(max_edit * n + 1e-9) for n in {len(w) for w in self.words}}
         self.repeat = {n: repetitions(n, k) for n, k in self.edits.items()}
         self.by_length = {n: np.flatnonzero([len(w) == n for w in self.words]) for n in self.edits}
-        self.grams = np.zeros(1 << _BITS, bool)
         self.whole, self.buckets = {}, {}
         for n, own in self.by_length.items():
             rows = np.stack([self.words[i] for i in own])
@@ -128,75 +127,91 @@ class Index:
             for key in tables(rows, n, self.edits[n], self.repeat[n]):
                 order = np.argsort(key)
                 self.buckets[n].append((key[order], own[order]))
+        # for each bucket of 2-grams, a bit for each length of the items that hold one (modulo 64)
+        self.bits = max(12, (16 * sum(len(w) for w in self.words)).bit_length())
+        self.grams = np.zeros(1 << self.bits, U64)
         for w in self.words:
-            self.grams[(tx.ngram(w, 2) >> U64(64 - _BITS)).astype(np.int64)] = True
-
-    def matches(self, w: tx.Words) -> list[tuple[int, int, int, int]]:
-        """(document, item, distance, first word of the region) of the chunk's verified pairs, best first for each."""
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        h, doc, total = w.hash, w.doc, len(w.hash)
-        if not total or not self.words:
-            return []
-        hit = np.zeros(total + 1, np.int64)
-        if total > 1:
-            hit[1:total] = self.grams[(tx.ngram(h, 2) >> U64(64 - _BITS)).astype(np.int64)]
-            hit[1:total][doc[:-1] != doc[1:]] = 0
-        hit[total] = 0
-        seen = np.cumsum(hit)  # 2-grams among the first ones
+            np.bitwise_or.at(self.grams, self._bucket(w), U64(1 << (len(w) % 64)))
+
+    def _bucket(self, words: np.ndarray) -> np.ndarray:
+        return (tx.ngram(words, 2) >> U64(64 - self.bits)).astype(np.int64)
+
+    def windows(self, w: tx.Words) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By length n: (document, first word, words around) of the chunk's windows that may match; around: n before, the window, n + k after."""
+        h, doc, total, out = w.hash, w.doc, len(w.hash), {}
+        if not total:
+            return out
+        mask = self.grams[self._bucket(h)] if total > 1 else np.zeros(0, U64)
+        at = np.flatnonzero(mask)
+        at = at[doc[at] == doc[np.minimum(at + 1, total - 1)]]
+        mask = mask[at]
         for n, k in self.edits.items():
-            self._length(n, k, h, doc, w.first, seen, best)
-        return [(d, i, e, s) for (d, i), (e, s) in best.items()]
-
-    def _length(self, n: int, k: int, h: np.ndarray, doc: np.ndarray, first: np.ndarray, seen: np.ndarray, best: dict) -> None:
-        total = len(h)
-        if k == 0:
-            if total < n:
-                return
-            g = tx.ngram(h, n)
-            start = np.flatnonzero(doc[: total - n + 1] == doc[n - 1 :])
-            x = g[start]
-            at = np.minimum(np.searchsorted(self.whole[n], x), len(self.whole[n]) - 1)
-            start = start[self.whole[n][at] == x]
-        else:
-            need = n - 1 - 2 * k
-            end = np.minimum(np.arange(total) + n - 1, total - 1)
-            start = np.flatnonzero(seen[end] - seen[:-1] >= need)
-            # windows may pass a document's end by the k words that deletions save
-            start = start[start + n - k <= first[doc[start] + 1]]
-        if not len(start):
-            return
-        for lo in range(0, len(start), 100_000):
-            at = start[lo : lo + 100_000]
-            place = at[:, None] + np.arange(n)
-            rows = np.where(place < first[doc[at] + 1][:, None], h[np.minimum(place, total - 1)], U64(0))
-            pairs = defaultdict(list)
-            for key, (sorted_, own) in zip(tables(rows, n, k, self.repeat[n]), self.buckets[n]):
-                a, b = np.searchsorted(sorted_, key), np.searchsorted(sorted_, key, "right")
-                for r in np.flatnonzero(b > a):
-                    for item in own[a[r] : b[r]]:
-                        pairs[(int(doc[at[r]]), int(item))].append(int(at[r]))
-            for (d, item), starts in pairs.items():
-                done = -1
-                for s in sorted(set(starts)):
-                    if s <= done:  # inside a region that was aligned already
-                        continue
-                    lo_, hi = max(first[d], s - n), min(first[d + 1], s + 2 * n + k)
-                    e, stop = distance(self.words[item], h[lo_:hi])
-                    done = s + n // 2
-                    name = (d, self.ids[item])
-                    if e <= k and (name not in best or (e, lo_ - first[d]) < best[name]):
-                        best[name] = (e, int(lo_ + max(0, stop - n) - first[d]))
+            if k:
+                start = _dense(at[(mask & U64(1 << (n % 64))) != 0], n, max(1, n - 1 - 2 * k))
+                # windows may pass a document's end by the k words that deletions save
+                start = start[start + n - k <= w.first[doc[start] + 1]]
+            else:
+                g = tx.ngram(h, n)
+                start = np.flatnonzero(doc[: len(g)] == doc[n - 1 :])
+                x = g[start]
+                near = np.minimum(np.searchsorted(self.whole[n], x), len(self.whole[n]) - 1)
+                start = start[self.whole[n][near] == x]
+            if len(start):
+                d = doc[start]
+                place = start[:, None] + np.arange(-n, 2 * n + k)
+                inside = (place >= w.first[d][:, None]) & (place < w.first[d + 1][:, None])
+                out[n] = d, start - w.first[d], np.where(inside, h[np.clip(place, 0, total - 1)], U64(0))
+        return out
+
+    def matches(self, n: int, doc: np.ndarray, start: np.ndarray, around: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(document, item, distance, first word) of the verified pairs among windows for items of n words, the best of each."""
+        k, best, pairs = self.edits[n], {}, defaultdict(list)
+        for key, (sorted_, own) in zip(tables(around[:, n : 2 * n], n, k, self.repeat[n]), self.buckets[n]):
+            a, b = np.searchsorted(sorted_, key), np.searchsorted(sorted_, key, "right")
+            for r in np.flatnonzero(b > a):
+                for item in own[a[r] : b[r]]:
+                    pairs[(int(doc[r]), int(item))].append(int(r))
+        for (d, item), rows in pairs.items():
+            done = -1
+            for r in sorted(set(rows), key=lambda r: start[r]):
+                s = int(start[r])
+                if s <= done:  # inside a region that was aligned already
+                    continue
+                done = s + n // 2
+                e, stop = distance(self.words[item], around[r])
+                found = (e, max(0, s + stop - 2 * n))
+                name = (d, self.ids[item])
+                if e <= k and (name not in best or found < best[name]):
+                    best[name] = found
+        return [(*name, *found) for name, found in best.items()]
+
+
+def _dense(grams: np.ndarray, n: int, need: int) -> np.ndarray:
+    """First words of the windows of n words that hold `need` of the 2-grams, given where those begin."""
+    if len(grams) < need:
+        return grams[:0]
+    low, high = grams[: len(grams) - need + 1], grams[need - 1 :]
+    ok = high - low <= n - 2
+    if not ok.any():
+        return grams[:0]
+    low, high = low[ok], high[ok]
+    begin = np.maximum(high - n + 2, 0)  # the windows begin from here to low; low and begin both increase
+    begin = np.maximum(begin, np.concatenate([[0], low[:-1] + 1]))
+    size = low - begin + 1
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
 
 
 def _scan(index: Index) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = tx.int64(batch.column(0))
-            for i, j, buf, off in tx.chunks(batch.column(1)):
-                found = index.matches(tx.words(buf, off))
-                if found:
-                    d, item, e, s = map(np.array, zip(*found))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][d]), pa.array(item), pa.array(e), pa.array(s)], ["doc_id", "item_id", "edits", "start_word"])
+            ids, held = tx.int64(batch.column(0)), defaultdict(list)
+            for i, _, buf, off in tx.chunks(batch.column(1)):
+                for n, (d, start, around) in index.windows(tx.words(buf, off)).items():
+                    held[n].append((d + i, start, around))
+            found = [x for n, parts in held.items() for x in index.matches(n, *map(np.concatenate, zip(*parts)))]
+            if found:
+                d, item, e, s = map(np.array, zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(item), pa.array(e), pa.array(s)], ["doc_id", "item_id", "edits", "start_word"])
 
     return run
 
