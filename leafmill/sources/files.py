@@ -30,7 +30,7 @@ def read_phrases(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, text): whole files."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
@@ -66,7 +66,7 @@ def parse_questions(lines: DataFrame, order_col: str = "line_no", line_col: str
         field("Category:").alias("category"), field("Description:").alias("description"),
         field("Answer Format:").alias("answer_format"), field("Group:").alias("group"),
     )
-    known = F.coalesce("id", "category", "description", "answer_format", "group").isNotNull()
+    known = F.coalesce(F.col("id").cast("string"), "category", "description", "answer_format", "group").isNotNull()
     return out.where(known).drop("_record")
 
 

@@ -1,0 +1,139 @@
+import pytest
+from pyspark.sql import functions as F
+
+from leafmill.operators import answers, models, nodes, provenance
+from leafmill.plans import adapters as ad
+from leafmill.sources import files, sinks
+
+CSV = 'Filename,Parties,Parties-Answer,Date-Answer\na.pdf,"text, with ""quotes""\nand a line",A & B,\nb.pdf,,,2020\na.pdf,again,X,Y\n'
+
+
+@pytest.fixture
+def wide(spark, tmp_path):
+    (tmp_path / "answers.csv").write_text(CSV)
+    return files.read_answers(spark, str(tmp_path / "answers.csv"))
+
+
+def test_lookup_keeps_empty_strings_and_the_first_row(spark, wide):
+    got = {(r.filename, r.category): (r.answer, r.provenance, r.found) for r in answers.unpivot_answers(wide).collect()}
+    assert got[("a.pdf", "Parties")][:2] == ("A & B", 'text, with "quotes"\nand a line')
+    assert got[("b.pdf", "Date")] == ("2020", None, True)
+    pairs = spark.createDataFrame([("a.pdf", "Parties"), ("c.pdf", "Parties"), ("a.pdf", "Other")], "filename string, category string")
+    assert {(r.filename, r.category): r.found for r in answers.lookup(pairs, answers.unpivot_answers(wide)).collect()} == {("a.pdf", "Parties"): True, ("c.pdf", "Parties"): False, ("a.pdf", "Other"): False}
+
+
+def test_all_answers_of_a_document(spark, wide):
+    q = spark.createDataFrame([("Parties", "text", "1"), ("Nothing", "text", "-")], "category string, answer_format string, `group` string")
+    d = answers.document_answers(spark.createDataFrame([("a.pdf",), ("a.pdf",), ("z.pdf",)], "filename string"), q, answers.unpivot_answers(wide))
+    assert {r.filename: (r.total_questions, r.found_questions) for r in answers.answered(d).collect()} == {"a.pdf": (2, 1), "z.pdf": (2, 0)}
+
+
+def test_reconciliation(spark):
+    have = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "k string")
+    want = spark.createDataFrame([("b",), ("c",)], "k string")
+    assert {r.k: r.status for r in answers.reconcile(have, want, "k").collect()} == {"a": "unmatched", "b": "matched", "c": "missing"}
+    assert tuple(answers.reconcile_summary(have, want, "k").first()) == (4, 2, 1, 1, 1)
+
+
+def test_questions(spark, tmp_path):
+    (tmp_path / "q.txt").write_text("noise\n1\n\nCategory: Parties Category: twice\nDescription: Who?\nAnswer Format: Text\nGroup: 2\n2\nCategory: Date\nGroup: -\nCategory: Later\n")
+    got = [tuple(r) for r in files.read_questions(spark, str(tmp_path / "q.txt")).orderBy("id").collect()]
+    assert got == [(1, "Parties", "Who?", "Text", "2"), (2, "Later", None, None, "-")]
+
+
+def test_inventory_groups_and_paths(spark, tmp_path):
+    for p in ("x/a.pdf", "x/b.PDF", "y/a.pdf", "y/n.txt"):
+        (tmp_path / p).parent.mkdir(exist_ok=True)
+        (tmp_path / p).write_bytes(b"12345")
+    inv = files.inventory(spark, str(tmp_path))
+    assert sorted((r.filename, r.size) for r in inv.collect()) == [("a.pdf", 5), ("a.pdf", 5), ("b.PDF", 5)]
+    assert files.pdf_names(spark, str(tmp_path)).count() == 3
+    assert files.count_files(spark, str(tmp_path)) == 4 and files.count_files(spark, str(tmp_path), ".PDF") == 3
+    g = answers.group_by_folder(inv).orderBy("root_folder_path").collect()
+    assert [len(r.pdf_paths) for r in g] == [2, 1] and g[0].pdf_paths == sorted(g[0].pdf_paths)
+    f = spark.createDataFrame([("/data/x/a.pdf",), ("/data/x/b.PDF",), ("/data/x/c.pdf",)], "full_path string")
+    t = spark.createDataFrame([("/out/x/a/a.json",), ("/out/x/b.json",), ("/out/x/b/b.json",)], "path string")
+    assert {r.full_path: r.tree_path for r in answers.with_tree_paths(f, t).collect()} == {"/data/x/a.pdf": "/out/x/a/a.json", "/data/x/b.PDF": "/out/x/b.json", "/data/x/c.pdf": "/out/x/c.json"}
+
+
+def test_extraction_and_phrases(spark):
+    docs = spark.createDataFrame([("a", bytearray(b"one|two")), ("b", bytearray(b"!"))], "path string, content binary")
+
+    def extract(content):
+        if content == b"!":
+            raise ValueError
+        return bytes(content).decode().split("|")
+
+    assert {r.path: r.text for r in files.extract_text(docs, extract).collect()} == {"a": "one\ntwo", "b": None}
+    words = spark.createDataFrame([("a", 3, "TITLE", 250.0, 1.0, 345.0, 9.0, 0, "X-Bold", 10.0, 595.0), ("a", 1, " ", 0.0, 0.0, 1.0, 1.0, 0, "X", 1.0, 595.0), ("a", 4, "2nd", 0.0, 1.0, 5.0, 9.0, 0, "Arial", 10.0, 595.0)], "doc_id string, id int, phrase string, x0 double, y0 double, x1 double, y1 double, page int, font string, size double, page_width double")
+    got = files.word_phrases(words).orderBy("id").collect()
+    assert [(r.id, r.bold, r.all_cap, r.num_st, r.is_center) for r in got] == [(0, 1, 1, 0, 1), (1, 0, 0, 1, 0)]
+    ocr = spark.createDataFrame([("b", 0, 0, "BIG", 90.0, 0.0, 0.0, 100.0, 50.0, 595.0), ("b", 1, 0, "unsure", 20.0, 0.0, 0.0, 10.0, 10.0, 595.0), ("b", 2, 0, " ", 90.0, 0.0, 0.0, 10.0, 10.0, 595.0)], "doc_id string, id int, page int, text string, conf double, left double, top double, width double, height double, page_width double")
+    (r,) = files.ocr_phrases(ocr).collect()
+    assert (r.phrase, r.x1, r.size, r.bold, r.font) == ("BIG", 50.0, 25.0, 1, "OCR_Detected")
+    pages = spark.createDataFrame([("a", "x" * 200), ("b", "few")], "doc_id string, first_page string")
+    assert {r.doc_id for r in files.phrases_of(pages, files.word_phrases(words), files.ocr_phrases(ocr)).collect()} == {"a", "b"}
+
+
+class Echo:
+    calls = 0
+
+    def answer(self, question, context):
+        return "yes" if question in context else " "
+
+    def equivalent(self, a, b):
+        return a == b
+
+    def evidence(self, question, answer, sentences):
+        return [9, 2, 1, 2, 0]
+
+
+def test_models(spark):
+    models.register("echo", Echo)
+    df = spark.createDataFrame([("q", "has q"), ("q", "hasn't"), ("q", " "), ("q", None), (None, "x"), ("q", "has q")], "question string, context string")
+    got = sorted(((r.question, r.context, r.llm_answer) for r in models.ask(df, model="echo").collect()), key=str)
+    assert len(got) == 6 and got.count(("q", "has q", "yes")) == 2 and ("q", None, None) in got
+    pair = spark.createDataFrame([("a", "a"), ("a", "b"), (None, "a"), (None, None)], "x string, y string")
+    assert sorted(r.is_equivalent for r in models.judged(pair, "x", "y", model="echo").collect()) == [False, False, False, True]
+    ctx = spark.createDataFrame([("q", "a", "One. Two. Three."), ("q", "a", None)], "question string, answer string, context string")
+    assert sorted(r.node_summary for r in models.supported(ctx, "question", "answer", "context", model="echo").collect()) == ["", "One. Two."]
+    with pytest.raises(KeyError):
+        models.ask(df, model="none")
+    m = models.Prompted(lambda p: "YES" if "mean the same" in p else "2, 1 and 7")
+    assert m.equivalent("a", "b") and m.evidence("q", "a", ["s", "t"]) == [2, 1, 7]
+    assert not models.Prompted(lambda p: "YES.").equivalent("a", "b") and not models.Prompted(lambda p: 1 / 0).equivalent("a", "b")
+
+
+def test_provenance_and_its_sinks(spark, tmp_path):
+    turns = [("d/e", 0, "h", "Intro"), ("d/e", 1, "t", "Nothing. The answer is 42. More."), ("d/e", 2, "h", "End"), ("d/e", 3, "t", " "), ("f", 0, "t", "no header")]
+    df = spark.createDataFrame(turns, "doc string, pos int, kind string, s string")
+    label = F.when(F.col("kind") == "h", nodes.HEADER).otherwise("text")
+    n = nodes.attach_sections(ad.as_nodes(df, "doc", F.col("pos"), label, F.col("s"), F.lit(1)))
+    q = "The answer is 42."
+    pairs = spark.createDataFrame([("d/e", q, q), ("f", q, q), ("d/e", "unknown", None)], "doc_id string, question string, answer string")
+    raw = spark.createDataFrame([("d/e", f"x {q}")], "doc_id string, raw_text string")
+    res = provenance.provenance(n, pairs, raw)
+    got = {(r.doc_id, r.question): r for r in res.collect()}
+    assert len(got) == 3
+    (hit,) = got["d/e", q].provenance_nodes
+    assert (hit.node_id, hit.node_summary, hit.header_text, hit.page_no, hit.tree_node, hit.tree_header_num) == ("#/texts/0", q, "Intro", 1, 0, 2)
+    assert got["d/e", q].llm_global_answer == q and got["f", q].llm_global_answer is None
+    assert got["d/e", "unknown"].provenance_nodes == [] and got["f", q].provenance_nodes == []
+    assert {r.n_nodes for r in provenance.node_counts(res).collect()} == {0, 1}
+    assert provenance.first_hits(provenance.flat(res)).count() == 1
+    out = res.select(F.col("doc_id").alias("folder"), F.lit("A/B").alias("question_category"), "doc_id", "question")
+    sinks.write_results(out, str(tmp_path / "r"))
+    back = spark.read.json(str(tmp_path / "r"))
+    assert {(r.folder, r.category) for r in back.collect()} == {("d/e", "A_B"), ("f", "A_B")}
+    assert sinks.without_done(pairs, back.where("doc_id = 'f'"), ["doc_id", "question"]).count() == 2
+
+
+def test_sinks(spark, tmp_path, wide):
+    assert sinks.write_json(wide, str(tmp_path / "a")) and not sinks.write_json(wide.limit(0), str(tmp_path / "b"))
+    assert spark.read.json(str(tmp_path / "a")).count() == 3
+    sinks.write_texts(spark.createDataFrame([("/x/a.pdf", "l1\nl2"), ("/x/b.pdf", None)], "path string, text string"), str(tmp_path / "t"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "t"), wholetext=True).collect()] == ["l1\nl2\n"]
+    sinks.write_document_answers(answers.unpivot_answers(wide), str(tmp_path / "d"))
+    assert {r.document for r in spark.read.json(str(tmp_path / "d")).collect()} == {"a_answers", "b_answers"}
+    status = spark.createDataFrame([("SUCCESS",), ("partial_success",), ("failure",), ("success",), (None,)], "status string")
+    assert tuple(sinks.conversion_counts(status).first()) == (2, 1, 1)
