@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
         m = F.min("b").over(Window.partitionBy("a"))
         met = down.withColumn("m", m)
         small = met.select(F.col("b").alias("a"), F.col("m").alias("b")).union(met.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        e = written(small)
+        old, e = e, written(small)
+        discard(old)
         parted = e.groupBy("a").count().where("count > 1").limit(1).count()
         if not parted and not e.select("b").distinct().join(e.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
             break

@@ -1,15 +1,19 @@
 """Operator 10: near duplicates by SetSketch registers.
 
-A document is the set of its word 2-grams (one-word documents: the word).  A SetSketch
-keeps, for each of m hash functions, the truncated exponent K = floor(1 - log_b(x)) of the
-least of the set's Exp(a) hash values: minima on an exponentially spaced scale, mergeable
-by maximum and locality-sensitive.  Bands of registers give candidates, the joint
-maximum-likelihood estimate of the Jaccard similarity from the two register vectors
-discards the clearly different ones, and exact similarity of the 2-gram sets decides.
+A document is the set of its word 3-grams (shorter ones: all their words as one).  A
+SetSketch keeps, for each of m hash functions, the truncated exponent
+K = floor(1 - log_b(x)) of the least of the set's Exp(a) hash values: minima on an
+exponentially spaced scale, mergeable by maximum and locality-sensitive.  Bands of
+registers give candidates, the joint maximum-likelihood estimate of the Jaccard similarity
+from the two register vectors discards the clearly different ones, and exact similarity of
+the 3-gram sets decides.
 
 Candidates of a band's bucket are its members with the bucket's least id, so their number
-is linear in the documents.  Edges are verified until none of the candidates joins two
-different groups, so no partner is lost to a cap.
+is linear in the documents.  Unrelated documents share a few per cent of their 3-grams at
+most, so four registers agree by chance in less than one of 10**6 pairs, and a bucket's
+least id is one of the group that the others look for; each document has 64 buckets to
+find it in.  Edges are verified until none of the candidates joins two different groups, so
+no partner is lost to a cap.
 """
 
 from __future__ import annotations
@@ -26,30 +30,30 @@ from ._graph import components
 from ._store import small, written
 
 U64 = np.uint64
-REGISTERS = 128
+#: Words of a shingle.
+GRAM = 3
+REGISTERS = 256
 ROWS = 4
 BASE = 1.02
 RATE = 20.0
-THRESHOLD = 0.6
-#: The estimate's error allowed for before exact verification: over three standard deviations at 128 registers.
-MARGIN = 0.14
+THRESHOLD = 0.45
+#: The estimate's error allowed for before exact verification: three standard deviations at 256 registers.
+MARGIN = 0.1
 _MULT = np.random.default_rng(10).integers(1, 2**63, REGISTERS, dtype=np.int64).view(U64) | U64(1)
 _48 = U64((1 << 48) - 1)
 
 
 def shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each document's distinct word 2-grams as sorted 48-bit hashes: (values, document of each, first of each document)."""
+    """Each document's distinct word 3-grams as sorted 48-bit hashes: (values, document of each, first of each document)."""
     w = tx.words(buf, off)
-    n = w.count
-    doc = w.doc
-    if len(w.hash) > 1:
-        two = tx.ngram(w.hash, 2)
-        inside = doc[:-1] == doc[1:]
-        one = np.flatnonzero(n == 1)
-        value = np.concatenate([two[inside], w.hash[w.first[one]]])
-        doc = np.concatenate([doc[:-1][inside], one])
-    else:
-        value = w.hash
+    n, doc = w.count, w.doc
+    values, docs = [], []
+    for k in range(1, GRAM + 1):
+        g = tx.ngram(w.hash, k)
+        own = doc[: len(g)]
+        keep = np.flatnonzero((own == doc[k - 1 :][: len(g)]) & (n[own] >= GRAM if k == GRAM else n[own] == k))
+        values.append(g[keep]), docs.append(own[keep])
+    value, doc = np.concatenate(values), np.concatenate(docs)
     key = np.sort((doc.astype(U64) << U64(48)) | (value >> U64(16)))
     if len(key):
         key = key[np.concatenate([[True], key[1:] != key[:-1]])]
@@ -128,7 +132,7 @@ def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        ka, kb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS).astype(np.int32) for c in ("ka", "kb"))
+        ka, kb = (tx.utf8(batch.column(c))[0].view(np.uint16).reshape(-1, REGISTERS) for c in ("ka", "kb"))
         na, nb = (batch.column(c).to_numpy().astype(float) for c in ("na", "nb"))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similarity(ka, kb, na, nb))], ["a", "b", "estimate"])
 
@@ -147,8 +151,9 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(batch):
             continue
         out = np.zeros(len(batch))
-        for k, (x, y) in enumerate(zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist())):
-            x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+        (x_buf, x_off), (y_buf, y_off) = tx.utf8(batch.column("sa")), tx.utf8(batch.column("sb"))
+        for k in range(len(batch)):
+            x, y = x_buf[x_off[k] : x_off[k + 1]].view(U64), y_buf[y_off[k] : y_off[k + 1]].view(U64)
             both = np.sort(np.concatenate([x, y]), kind="stable")
             same = int((both[1:] == both[:-1]).sum())
             out[k] = same / max(1, len(both) - same)
@@ -156,7 +161,7 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose 2-gram sets reach the threshold; a is the least id of a bucket, so few."""
+    """The pairs (a, b) whose 3-gram sets reach the threshold; a is the least id of a bucket, so few."""
     kind = "a bigint, b bigint, s binary"
     left = docs.join(small(written(pairs.select(F.col("a").alias("id")).distinct())), "id").select(F.col("id").alias("a"), F.col("id").alias("b"), "text").mapInArrow(_sets, kind).select("a", F.col("s").alias("sa"))
     right = docs.join(small(pairs.select(F.col("b").alias("id"), "a")), "id").select("a", F.col("id").alias("b"), "text").mapInArrow(_sets, kind).select("a", "b", F.col("s").alias("sb"))
@@ -167,18 +172,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, group_id) for every document of a group of two or more near duplicates.
 
     Groups are the connected components of the pairs with Jaccard similarity >= threshold
-    of their word 2-gram sets; group_id is the least id of the group.  Documents without a
+    of their word 3-gram sets; group_id is the least id of the group.  Documents without a
     word (null, empty, punctuation) and rows without an id belong to no group.  Rows that
     repeat an id are one document with any of their texts.  Other columns are ignored.  An empty table gives an
     empty result.
     """
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    sketches = written(docs.mapInArrow(_sketch, SKETCH).withColumn("rep", F.min("id").over(Window.partitionBy("f1", "f2", "n"))))
-    same = sketches.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    reps = sketches.where("id = rep").select("id", "n", "regs", "bands")
+    sketches = written(docs.mapInArrow(_sketch, SKETCH))
+    # equal sets collapse before the shuffle, so a set of many copies is no hot key
+    reps = written(sketches.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.min_by(F.struct("regs", "bands"), "id").alias("s")).select("f1", "f2", "n", "id", "s.regs", "s.bands"))
+    same = sketches.join(reps.select("f1", "f2", "n", F.col("id").alias("rep")), ["f1", "f2", "n"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     bucket = reps.select("id", F.explode("bands").alias("band"))
     pairs = bucket.withColumn("a", F.min("id").over(Window.partitionBy("band"))).where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    half = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"k{x}")).dropDuplicates([x])
+    half = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"k{x}"))
     left = written(pairs.join(half("b"), "b").join(half("a"), "a").mapInArrow(_estimate, "a bigint, b bigint, estimate double").where(F.col("estimate") >= threshold - MARGIN))
     edges, tried, per = same, None, 1
     while True:
