@@ -33,7 +33,7 @@ from ._store import small, written
 U64 = np.uint64
 MIN_WORDS = 50
 #: Words of a shard; one document may be longer, and is then a shard of its own.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 _TOP = U64(1 << 63)
 
 
@@ -208,11 +208,18 @@ def _class_shards(min_words: int) -> Callable:
     return run
 
 
+def _blob(column: pa.Array, row: int, kind: type) -> np.ndarray:
+    """A binary cell as numbers, without a copy."""
+    x = column[row].as_buffer()
+    return np.frombuffer(x, kind) if x.size else np.zeros(0, kind)
+
+
 def _ranges(bits: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard, size, keys, docs in zip(*(batch.column(c).to_pylist() for c in ("shard", "size", "keys", "docs"))):
-                size, keys, docs = np.frombuffer(size, np.int32), np.frombuffer(keys, U64), np.frombuffer(docs, np.int64)
+            for row in range(len(batch)):
+                shard = batch.column("shard")[row].as_py()
+                size, keys, docs = (_blob(batch.column(c), row, kind) for c, kind in (("size", np.int32), ("keys", U64), ("docs", np.int64)))
                 start = np.cumsum(size) - size
                 low, high = np.minimum.reduceat(docs, start), np.maximum.reduceat(docs, start)
                 cut = np.searchsorted(keys, np.arange(1 << bits, dtype=U64) << U64(64 - bits)) if bits else np.zeros(1, np.int64)
@@ -256,21 +263,21 @@ def _merge(part: pa.Table) -> pa.Table:
     return pa.table({"shard": part.column("shard"), "bucket": part.column("bucket"), "n": pa.array([len(r[0]) for r in runs], pa.int32()), "shared": pa.array([x for x, _ in out], pa.binary()), "least": pa.array([y for _, y in out], pa.binary())})
 
 
-def _members(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _members(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, position, least document) of the members of a shard's shared classes."""
-    parts = sorted(row["parts"], key=lambda p: p["bucket"])
+    parts = sorted(batch.column("parts")[row].as_py(), key=lambda p: p["bucket"])
     shared = np.concatenate([np.unpackbits(np.frombuffer(p["shared"], np.uint8))[: p["n"]] for p in parts]).astype(bool)
     least = np.zeros(len(shared), np.int64)
     least[shared] = np.concatenate([np.frombuffer(p["least"], np.int64) for p in parts])
-    size = np.frombuffer(row["size"], np.int32)
+    size, docs, pos = (_blob(batch.column(c), row, kind) for c, kind in (("size", np.int32), ("docs", np.int64), ("pos", np.int32)))
     keep = np.repeat(shared, size)
-    return np.frombuffer(row["docs"], np.int64)[keep], np.frombuffer(row["pos"], np.int32)[keep].astype(np.int64), np.repeat(least, size)[keep]
+    return docs[keep], pos[keep].astype(np.int64), np.repeat(least, size)[keep]
 
 
 def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            doc, pos, _ = _members(row)
+        for row in range(len(batch)):
+            doc, pos, _ = _members(batch, row)
             order = np.argsort(doc, kind="stable")
             doc, pos = doc[order], pos[order].astype(np.int32)
             ids, start = np.unique(doc, return_index=True)
@@ -281,8 +288,8 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _spans(min_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                doc, pos, least = _members(row)
+            for row in range(len(batch)):
+                doc, pos, least = _members(batch, row)
                 if not len(doc):
                     continue
                 order = np.lexsort((pos, doc))
