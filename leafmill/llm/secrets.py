@@ -18,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
+from ._store import written
 from .lattice import word_table
+from .quality import kth_largest
 
 MIN_LENGTH = 16
 #: Bytes of text on either side that count as surroundings.
@@ -99,7 +101,9 @@ def _scan(raw: bytes) -> Callable:
 def frequent_words(docs: DataFrame, text_col: str = "text") -> list[bytes]:
     """The corpus's most frequent words of letters, counted over all documents; ties in byte order."""
     word = F.substring(F.col("word").cast("string"), 2, 10_000)
-    top = word_table(docs, text_col).select(word.alias("w"), "n").where(F.length("w").between(SHORTEST, LONGEST) & (F.col("n") > 1) & F.col("w").rlike(r"^\p{L}+$")).orderBy(F.desc("n"), "w").limit(WORDS)
+    words = written(word_table(docs, text_col).select(word.alias("w"), "n").where(F.length("w").between(SHORTEST, LONGEST) & (F.col("n") > 1) & F.col("w").rlike(r"^\p{L}+$")))
+    # the threshold first, so that the driver gets few words from however many partitions
+    top = words.where(F.col("n") >= kth_largest(words, "n", WORDS)).orderBy(F.desc("n"), "w").limit(WORDS)
     return [r.w.encode() for r in top.collect()]
 
 
