@@ -24,6 +24,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 #: Bytes of text handled at once; a longer document is a chunk of its own.
 CHUNK = 1 << 20
+BLOCK = 4 << 20
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
@@ -106,12 +107,34 @@ def runs(inside: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return start, end, np.searchsorted(start, off)
 
 
-def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end)."""
+def _hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     p, q = powers(len(buf) + 1)
     total = np.zeros(len(buf) + 1, U64)
     np.cumsum(_TABLE[buf] * p[:-1], out=total[1:])
-    return mix((total[end] - total[start]) * q[start])
+    return (total[end] - total[start]) * q[start]
+
+
+def span_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte spans [start, end), which are in order and don't overlap.
+
+    Works in blocks of BLOCK bytes, so a very long text takes no more memory than its bytes.
+    """
+    if len(buf) <= BLOCK:
+        return mix(_hash(buf, start, end))
+    out, i = np.zeros(len(start), U64), 0
+    while i < len(start):
+        a = int(start[i])
+        j = int(np.searchsorted(end, a + BLOCK, "right"))
+        if j > i:
+            out[i:j] = _hash(buf[a : int(end[j - 1])], start[i:j] - a, end[i:j] - a)
+        else:  # one span longer than a block
+            j, step, factor = i + 1, U64(pow(int(_P), BLOCK, 2**64)), U64(1)
+            for b in range(a, int(end[i]), BLOCK):
+                part = buf[b : min(b + BLOCK, int(end[i]))]
+                out[i:j] += _hash(part, np.array([0]), np.array([len(part)])) * factor
+                factor = U64(int(factor) * int(step) & (2**64 - 1))
+        i = j
+    return mix(out)
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> Words:

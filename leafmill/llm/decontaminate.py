@@ -38,6 +38,8 @@ RECALL = 0.95
 SAMPLE = 4
 #: Items whose index a task holds at once (some 4 MB); a larger benchmark takes one pass a block.
 BLOCK = 20_000
+#: Bytes of windows that a task gathers before it embeds them.
+HELD = 64 << 20
 
 
 def edited(words: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -204,14 +206,17 @@ def _dense(grams: np.ndarray, n: int, need: int) -> np.ndarray:
 def _scan(index: Index) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, held = tx.int64(batch.column(0)), defaultdict(list)
-            for i, _, buf, off in tx.chunks(batch.column(1)):
+            ids, held, waiting = tx.int64(batch.column(0)), defaultdict(list), 0
+            for i, j, buf, off in tx.chunks(batch.column(1)):
                 for n, (d, start, around) in index.windows(tx.words(buf, off)).items():
                     held[n].append((d + i, start, around))
-            found = [x for n, parts in held.items() for x in index.matches(n, *map(np.concatenate, zip(*parts)))]
-            if found:
-                d, item, e, s = map(np.array, zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(item), pa.array(e), pa.array(s)], ["doc_id", "item_id", "edits", "start_word"])
+                    waiting += around.nbytes
+                if waiting > HELD or j == len(batch):
+                    found = [x for n, parts in held.items() for x in index.matches(n, *map(np.concatenate, zip(*parts)))]
+                    held, waiting = defaultdict(list), 0
+                    if found:
+                        d, item, e, s = map(np.array, zip(*found))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(item), pa.array(e), pa.array(s)], ["doc_id", "item_id", "edits", "start_word"])
 
     return run
 

@@ -79,3 +79,15 @@ def test_empty_tables(spark, make):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert dc.leaks(make([(1, "a b c")]), none).collect() == []
     assert dc.leaks(make([]), spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")).collect() == []
+
+
+def test_gathering_windows_piece_by_piece_gives_the_same(spark, make, prose, monkeypatch):
+    items, docs = fixture(prose)
+    index = dc.Index([i for i, _ in items], [t for _, t in items], dc.MAX_EDIT)
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs]), pa.array([t for _, t in docs])], ["id", "text"])
+    rows = lambda: {tuple(r.values()) for b in dc._scan(index)(iter([batch])) for r in b.to_pylist()}
+    whole = rows()
+    monkeypatch.setattr(dc, "HELD", 1)
+    monkeypatch.setattr(tx, "CHUNK", 500)
+    monkeypatch.setattr(tx.chunks, "__defaults__", (500,))
+    assert rows() == whole

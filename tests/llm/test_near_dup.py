@@ -100,3 +100,14 @@ def test_components(spark):
     got = {r.id: r.root for r in components(spark.createDataFrame([*edges, (None, 3)], "a bigint, b bigint")).collect()}
     assert got == {x: root(x) for x in parent}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).collect() == []
+
+
+def test_hashes_do_not_depend_on_blocks(monkeypatch):
+    rng = np.random.default_rng(0)
+    buf = rng.integers(97, 110, 20000).astype(np.uint8)
+    buf[rng.integers(0, 20000, 2500)] = 32
+    buf[5000:9000] = 97
+    whole = tx.words(buf, np.array([0, 3000, 20000]))
+    for block in (64, 1000, 3999, 4000, 4001):
+        monkeypatch.setattr(tx, "BLOCK", block)
+        assert (tx.words(buf, np.array([0, 3000, 20000])).hash == whole.hash).all()
