@@ -58,6 +58,24 @@ def document_questions(documents: DataFrame, questions: DataFrame) -> DataFrame:
     return documents.crossJoin(questions)
 
 
+def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """(doc_id, item_id, passage) where a document (doc_id, text) holds a passage (item_id, passage) to the letter.
+
+    A document that holds a passage has each of its inner words between blanks, so the
+    pairs come from a hash join on the passage's longest inner word, and only those are
+    compared; passages of fewer than three words are compared with every document.
+    """
+    words = F.split("passage", " ")
+    inner = F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
+    keyed = passages.select("item_id", "passage", longest["w"].alias("word"))
+    held = documents.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
+    near = held.join(keyed.where("word IS NOT NULL"), "word").select("doc_id", "item_id", "passage")
+    found = documents.select("doc_id", "text").join(near, "doc_id").where(F.contains("text", "passage"))
+    short = documents.select("doc_id", "text").join(keyed.where("word IS NULL"), F.contains("text", "passage"))
+    return found.select("doc_id", "item_id", "passage").unionByName(short.select("doc_id", "item_id", "passage"))
+
+
 def first_hits(flat_results: DataFrame) -> DataFrame:
     """The first provenance node of each document."""
     w = Window.partitionBy("doc_id").orderBy("tree_node", "node_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.operators import nodes, tables
+from leafmill.operators import nodes, provenance, tables
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,5 +90,6 @@ def document_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def known_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, question, answer): the benchmark items that documents hold."""
-    d, b = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    return d.join(b.withColumnRenamed("text", "question"), F.contains("text", "question")).select("doc_id", "item_id", "question", F.col("question").alias("answer"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    held = provenance.containing(table(spark, sf_dir, "documents"), items)
+    return held.select("doc_id", "item_id", F.col("passage").alias("question"), F.col("passage").alias("answer"))

@@ -128,6 +128,18 @@ def test_provenance_and_its_sinks(spark, tmp_path):
     assert sinks.without_done(pairs, back.where("doc_id = 'f'"), ["doc_id", "question"]).count() == 2
 
 
+def test_passages_held_to_the_letter(spark):
+    import random
+
+    rng = random.Random(0)
+    texts = [" ".join(rng.choice(["ab", "c", "dd\ne", "", "f."]) for _ in range(rng.randint(0, 12))) for _ in range(60)] + ["", None]
+    items = [" ".join(rng.choice(["ab", "c", "dd\ne", "", "f."]) for _ in range(rng.randint(1, 5))) for _ in range(40)] + ["b c", "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    p = spark.createDataFrame(list(enumerate(items)), "item_id int, passage string")
+    got = sorted((r.doc_id, r.item_id) for r in provenance.containing(d, p).collect())
+    assert got == [(i, j) for i, t in enumerate(texts) for j, x in enumerate(items) if t is not None and x is not None and x in t]
+
+
 def test_sinks(spark, tmp_path, wide):
     assert sinks.write_json(wide, str(tmp_path / "a")) and not sinks.write_json(wide.limit(0), str(tmp_path / "b"))
     assert spark.read.json(str(tmp_path / "a")).count() == 3
