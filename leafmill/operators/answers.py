@@ -31,7 +31,7 @@ def lookup(pairs: DataFrame, answers: DataFrame) -> DataFrame:
 
 def document_answers(filenames: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
     """A row for each document and question: answer, provenance, answer_format, group."""
-    pairs = filenames.select("filename").distinct().crossJoin(F.broadcast(questions.select("category", "answer_format", "group")))
+    pairs = filenames.select("filename").distinct().crossJoin(questions.select("category", "answer_format", "group"))
     return lookup(pairs, answers)
 
 

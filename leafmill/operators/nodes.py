@@ -41,13 +41,14 @@ def reading_order(nodes: DataFrame) -> DataFrame:
 def attach_sections(nodes: DataFrame) -> DataFrame:
     """nodes in reading order with section_ref: the latest header before each node that is none, null before the first.
 
-    The hierarchy is flat: headers attach to nothing, whatever their level.
+    The hierarchy is flat: headers attach to nothing, whatever their level.  section_ord is
+    the header's place, for a header its own.
     """
-    order = Window.partitionBy("doc_id").orderBy("ord")
+    order = Window.partitionBy("doc_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     header = F.col("label") == HEADER
-    last = F.last(F.when(header, F.col("self_ref")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    df = nodes if "ord" in nodes.columns else reading_order(nodes)
-    return df.withColumn("section_ref", F.when(~F.coalesce(header, F.lit(False)), last))
+    last = F.last(F.when(header, F.struct("self_ref", "ord")), ignorenulls=True).over(order)
+    df = (nodes if "ord" in nodes.columns else reading_order(nodes)).withColumn("_last", last)
+    return df.withColumn("section_ref", F.when(~F.coalesce(header, F.lit(False)), F.col("_last.self_ref"))).withColumn("section_ord", F.col("_last.ord")).drop("_last")
 
 
 def section_edges(attached: DataFrame) -> DataFrame:
@@ -112,16 +113,14 @@ def section_texts(attached: DataFrame, tables: DataFrame | None = None) -> DataF
     The complete text is the header's own and, after a blank, that of its children in
     reading order, one level deep, without empty ones.
     """
-    content = node_texts(attached, tables)
-    kids = (
-        content.where("section_ref IS NOT NULL").groupBy("doc_id", F.col("section_ref").alias("self_ref"))
-        .agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("content") != "", F.struct("ord", "content")))), lambda x: x["content"]), " ").alias("kids"))
-    )
-    own = F.coalesce("text", F.lit(""))
-    some = ~text.is_blank(F.col("kids"))
+    header = F.coalesce(F.col("label") == HEADER, F.lit(False))
+    kids = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(~header & (F.col("content") != ""), F.struct("ord", "content")))), lambda x: x["content"]), " ")
+    head = F.max(F.when(header, F.struct("ord", "self_ref", "id_num", "array_idx", "page_no", F.coalesce("text", F.lit("")).alias("text"))))
+    # the window's partitioning by document serves this aggregation too
+    sections = node_texts(attached, tables).where("section_ord IS NOT NULL").groupBy("doc_id", "section_ord").agg(head.alias("h"), kids.alias("kids"), F.count_if(~header).alias("n_children"))
+    own, some = F.col("h.text"), ~text.is_blank(F.col("kids"))
     complete = F.when(some & ~text.is_blank(own), F.concat(own, F.lit(" "), F.col("kids"))).when(some, F.col("kids")).otherwise(own)
-    heads = attached.where(F.col("label") == HEADER).select("doc_id", "self_ref", "id_num", "array_idx", "ord", "page_no", F.col("text"))
-    return heads.join(kids, ["doc_id", "self_ref"], "left").select("doc_id", "self_ref", "id_num", "array_idx", "ord", "page_no", own.alias("text"), complete.alias("complete_text"), F.coalesce("n", F.lit(0)).alias("n_children"))
+    return sections.select("doc_id", "h.self_ref", "h.id_num", "h.array_idx", "h.ord", "h.page_no", own.alias("text"), complete.alias("complete_text"), "n_children")
 
 
 def section_report(attached: DataFrame, tables: DataFrame | None = None) -> DataFrame:
@@ -157,6 +156,17 @@ def page_info(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "self_ref", F.coalesce("page_no", F.lit(-1)).alias("page_no"), F.coalesce(F.max("page_no").over(Window.partitionBy("doc_id")), F.lit(0)).alias("total_pages"))
 
 
+def positions(nodes: DataFrame) -> DataFrame:
+    """page_info and node_ranks in one pass: (doc_id, self_ref, page_no, total_pages, rank, total)."""
+    w = Window.partitionBy("doc_id")
+    header = F.coalesce(F.col("label") == HEADER, F.lit(False))
+    place = F.sum(header.cast("int")).over(w.orderBy("id_num", "array_idx", "ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - 1
+    return nodes.select(
+        "doc_id", "self_ref", F.coalesce("page_no", F.lit(-1)).alias("page_no"), F.coalesce(F.max("page_no").over(w), F.lit(0)).alias("total_pages"),
+        F.when(header, place).otherwise(-1).alias("rank"), F.sum(header.cast("int")).over(w).alias("total"),
+    )
+
+
 def orphans(nodes: DataFrame) -> DataFrame:
     """Nodes that are no header and whose file gives them no parent."""
     return nodes.where((F.coalesce("label", F.lit("")) != HEADER) & F.col("parent_ref").isNull())

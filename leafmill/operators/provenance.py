@@ -27,7 +27,7 @@ def provenance(attached: DataFrame, pairs: DataFrame, raw_texts: DataFrame, tabl
     raw_texts has (doc_id, raw_text); pairs without an answer get an empty list.
     """
     sections = nodes.section_texts(attached, tables)
-    info = nodes.page_info(attached).join(nodes.node_ranks(attached), ["doc_id", "self_ref"])
+    info = nodes.positions(attached)
     found = models.supported(search(pairs, sections.drop("page_no"), model), "question", "llm_answer", "complete_text", model=model)
     hits = found.join(info, ["doc_id", "self_ref"])
     node = F.struct(
