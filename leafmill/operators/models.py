@@ -6,9 +6,10 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leafmill.functions import text
 
@@ -75,27 +76,30 @@ def backend(name: str) -> Callable[[], Backend]:
     return _BACKENDS[name]
 
 
+_ARROW = {"string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
+
+
 def _mapped(df: DataFrame, columns: list[str], out: str, kind: str, call: Callable[[Backend, tuple], object], make: Callable[[], Backend]) -> DataFrame:
-    """Distinct inputs go through the model once each; the results are joined back."""
-    keys = df.select(*columns).distinct()
+    """df with the model's output for some columns; rows of equal inputs meet in one partition, next to each other, and share a call."""
+    key = F.xxhash64(*(F.col(c) for c in columns))
+    rows = df.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key").select(*df.columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = make()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, value = make(), None, None
         for batch in batches:
-            batch[out] = [call(own, row) for row in batch.itertuples(index=False, name=None)]
-            yield batch
+            got = []
+            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if row != last:
+                    last, value = row, call(own, row)
+                got.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, _ARROW[kind])], [*batch.schema.names, out])
 
-    done = keys.mapInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields) + f", `{out}` {kind}")
-    right = done.select(*(F.col(c).alias("_k_" + c) for c in columns), out)
-    on = [F.col(c).eqNullSafe(F.col("_k_" + c)) for c in columns]
-    return df.join(right, on, "left").drop(*("_k_" + c for c in columns))
+    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StructType.fromDDL(f"x {kind}")[0].dataType)]))
 
 
 def ask(df: DataFrame, question: str = "question", context: str = "context", out: str = "llm_answer", model: str = "containment") -> DataFrame:
     """df with the model's answer; blank contexts aren't sent and answer null."""
-    full = df.where(~text.is_blank(F.col(context)))
-    asked = _mapped(full, [question, context], out, "string", lambda m, r: m.answer(r[0] or "", r[1]), backend(model))
-    return asked.unionByName(df.where(text.is_blank(F.col(context))).withColumn(out, F.lit(None).cast("string")))
+    return _mapped(df, [question, context], out, "string", lambda m, r: m.answer(r[0] or "", r[1]) if r[1] and r[1].strip() else None, backend(model))
 
 
 def judged(df: DataFrame, a: str, b: str, out: str = "is_equivalent", model: str = "containment") -> DataFrame:
@@ -108,7 +112,7 @@ def supported(df: DataFrame, question: str, answer: str, context: str, out: str
 
     def call(m: Backend, row: tuple) -> list[int]:
         try:
-            return list(m.evidence(row[0] or "", row[1] or "", list(row[2])))
+            return list(m.evidence(row[0] or "", row[1] or "", row[2]))
         except Exception:  # noqa: BLE001 - no evidence then
             return []
 

@@ -35,9 +35,9 @@ def provenance(attached: DataFrame, pairs: DataFrame, raw_texts: DataFrame, tabl
         F.col("page_no").cast("int").alias("page_no"), F.col("total_pages").cast("int").alias("total_pages"), F.col("rank").cast("int").alias("tree_node"), F.col("total").cast("int").alias("tree_header_num"),
     )
     per = hits.groupBy("doc_id", "question").agg(F.transform(F.sort_array(F.collect_list(node)), lambda x: x.dropFields("_rank")).alias("provenance_nodes"))
-    known = pairs.where("answer IS NOT NULL").join(raw_texts, "doc_id", "left")
-    answered = models.ask(known, "question", "raw_text", "llm_global_answer", model).drop("raw_text")
-    everything = answered.unionByName(pairs.where("answer IS NULL").withColumn("llm_global_answer", F.lit(None).cast("string")))
+    # a pair without an answer has no text to ask, so no call
+    given = pairs.join(raw_texts, "doc_id", "left").withColumn("raw_text", F.when(F.col("answer").isNotNull(), F.col("raw_text")))
+    everything = models.ask(given, "question", "raw_text", "llm_global_answer", model).drop("raw_text")
     empty = F.array().cast(per.schema["provenance_nodes"].dataType)
     return everything.join(per, ["doc_id", "question"], "left").withColumn("provenance_nodes", F.coalesce("provenance_nodes", empty))
 
