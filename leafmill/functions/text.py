@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space that both Java and RE2 regular expressions know by this class.
 SPACE = r"[ \n\t\r\f]"
@@ -29,6 +30,23 @@ def truncated(x: Column, n: int, limit: int | None = None) -> Column:
     return F.when(F.length(x) > (limit or n), F.concat(F.substring(x, 1, n), F.lit("..."))).otherwise(x)
 
 
+def truncated_strings(df: DataFrame, n: int = 300) -> DataFrame:
+    """df with every string longer than n, at any depth, cut to n characters and dots."""
+
+    def cut(x: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.StringType):
+            return truncated(x, n)
+        if isinstance(kind, T.ArrayType):
+            return F.transform(x, lambda y: cut(y, kind.elementType))
+        if isinstance(kind, T.MapType):
+            return F.transform_values(x, lambda _, y: cut(y, kind.valueType))
+        if isinstance(kind, T.StructType):
+            return F.when(x.isNotNull(), F.struct(*(cut(x[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+        return x
+
+    return df.select(*(cut(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields))
+
+
 def preview(x: Column) -> Column:
     return truncated(x, 100)
 

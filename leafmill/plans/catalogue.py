@@ -395,6 +395,11 @@ def text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", *(c.alias(n) for n, c in text.text_statistics(F.col("text")).items()))
 
 
+@query("SELECT doc_id, lang, CASE WHEN length(text) > 300 THEN substring(text, 1, 300) || '...' ELSE text END AS text FROM documents")
+def truncated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.truncated_strings(ad.table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+
+
 SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])[ \n\t\r\f]+', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^[ \n\t\r\f]+|[ \n\t\r\f]+$', '', 'g')), lambda s: s <> '')"""
 
 

@@ -108,6 +108,12 @@ def extract_text(files: DataFrame, extractor: Callable[[bytes], list[str]]) -> D
     return files.select("path", "content").mapInPandas(run, "path string, text string")
 
 
+def extract_folder(spark: SparkSession, folder: str, extractor: Callable[[bytes], list[str]], pattern: str = r"(?i)\.pdf$") -> DataFrame:
+    """(path, text, text_path) of the files below folder: extracted text and where it belongs."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).where(F.col("path").rlike(pattern))
+    return extract_text(found, extractor).withColumn("text_path", text.raw_text_path(F.col("path")))
+
+
 def is_scanned(first_page: F.Column, threshold: int = 100) -> F.Column:
     """Whether a document's first page has so little text that it must be an image."""
     return F.coalesce(F.length(text.stripped(first_page)) < threshold, F.lit(True))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from leafmill.functions import text
 from leafmill.operators import answers, models, nodes, provenance
 from leafmill.plans import adapters as ad
 from leafmill.sources import files, sinks
@@ -75,6 +76,17 @@ def test_extraction_and_phrases(spark):
     assert {r.doc_id for r in files.phrases_of(pages, files.word_phrases(words), files.ocr_phrases(ocr)).collect()} == {"a", "b"}
 
 
+def test_folder_extraction_and_truncation(spark, tmp_path):
+    (tmp_path / "data" / "x").mkdir(parents=True)
+    (tmp_path / "data" / "x" / "a.PDF").write_bytes(b"page")
+    (r,) = files.extract_folder(spark, str(tmp_path / "data"), lambda b: [bytes(b).decode()]).collect()
+    assert r.text == "page" and r.text_path.endswith("/out/x/a.txt")
+    df = spark.createDataFrame([(1, "abcdef", ["abc", "abcdef", None], {"k": "abcdef"}, ("abcdef", [("abcdef",)])), (2, None, None, None, None)], "i int, s string, a array<string>, m map<string,string>, t struct<x:string,y:array<struct<z:string>>>")
+    one, two = text.truncated_strings(df, 4).orderBy("i").collect()
+    assert (one.s, one.a, one.m, one.t.x, one.t.y[0].z) == ("abcd...", ["abc", "abcd...", None], {"k": "abcd..."}, "abcd...", "abcd...")
+    assert (two.s, two.a, two.m, two.t) == (None, None, None, None)
+
+
 class Echo:
     calls = 0
 
