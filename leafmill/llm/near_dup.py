@@ -8,17 +8,18 @@ registers give candidates, the joint maximum-likelihood estimate of the Jaccard
 from the two register vectors discards the clearly different ones, and exact similarity of
 the 3-gram sets decides.
 
-Candidates of a band's bucket are its members with the bucket's least id, so their number
-is linear in the documents.  Unrelated documents share a few per cent of their 3-grams at
-most, so four registers agree by chance in less than one of 10**6 pairs, and a bucket's
-least id is one of the group that the others look for; each document has 64 buckets to
-find it in.  Edges are verified until none of the candidates joins two different groups, so
-no partner is lost to a cap.
+The first candidates of a band's bucket are its members with the bucket's least id, so
+their number is linear in the documents; edges are verified until none of them joins two
+different groups.  Documents that share a passage or a template meet in buckets whose least
+id is not similar to them.  So in each bucket that still holds several groups, all members
+of different groups are then compared exactly, in hashed blocks: every pair that meets in
+any bucket is in one group or was compared.  That last step is quadratic in a bucket's
+members, though only in such buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ RATE = 20.0
 THRESHOLD = 0.45
 #: The estimate's error allowed for before exact verification: three standard deviations at 256 registers.
 MARGIN = 0.1
+#: Members of a bucket that are compared with each other, or with as many others, in one piece.
+BLOCK = 1024
 _MULT = np.random.default_rng(10).integers(1, 2**63, REGISTERS, dtype=np.int64).view(U64) | U64(1)
 _48 = U64((1 << 48) - 1)
 
@@ -168,6 +171,80 @@ def _verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     return written(right.join(left, "a").mapInArrow(_jaccard, "a bigint, b bigint, jaccard double").where(F.col("jaccard") >= threshold).select("a", "b"))
 
 
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, len(batch), 60000):
+            part = batch.slice(at, 60000)
+            for i, j, buf, off in tx.chunks(part.column("text")):
+                value, _, first = shingles(buf, off)
+                s = pa.array([value[x:y].tobytes() for x, y in zip(first[:-1], first[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(part.column(c).slice(i, j - i) for c in PIECE), s], [*PIECE, "s"])
+
+
+PIECE = {"key": "bigint", "band": "bigint", "p": "bigint", "q": "bigint", "own": "bigint", "id": "bigint", "root": "bigint"}
+
+
+def joins(value: np.ndarray, first: np.ndarray, group: np.ndarray, ask: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Pairs of sets that reach the threshold and join all groups that any such pair of a set of `ask` with another joins."""
+    n, out = np.diff(first), []
+    doc = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(value, kind="stable")
+    at = np.empty(len(value), np.int64)
+    new = np.concatenate([[True], value[order][1:] != value[order][:-1]])[: len(value)]
+    at[order] = np.cumsum(new) - 1
+    begin = np.append(np.flatnonzero(new), len(value))
+    holder, many = doc[order], np.diff(begin)
+    group = np.unique(group, return_inverse=True)[1]
+    for i in ask.tolist():
+        term = at[first[i] : first[i + 1]]
+        term = term[many[term] > 1]
+        size = many[term]
+        if not len(size):
+            continue
+        where = np.arange(int(size.sum())) + np.repeat(begin[term] - np.cumsum(size) + size, size)
+        same = np.bincount(holder[where], minlength=len(n))
+        found = np.flatnonzero((same / np.maximum(1, n + n[i] - same) >= threshold) & (group != group[i]))
+        for g, k in zip(*np.unique(group[found], return_index=True)):
+            out.append((i, int(found[k])))
+            group[group == g] = group[i]
+    return out
+
+
+def _compared(threshold: float) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        band, p, q, own, ids, root = (rows.column(c).to_numpy() for c in list(PIECE)[1:])
+        buf, off = tx.utf8(rows.column("s"))
+        order = np.lexsort((q, p, band))
+        edge = np.flatnonzero(np.any([x[order][1:] != x[order][:-1] for x in (band, p, q)], axis=0)) + 1
+        a, b = [], []
+        for piece in np.split(order, edge):
+            if (root[piece] == root[piece[0]]).all():
+                continue
+            sets = [buf[off[k] : off[k + 1]].view(U64) for k in piece.tolist()]
+            first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            ask = np.flatnonzero(own[piece] == p[piece])
+            for x, y in joins(np.concatenate(sets), first, root[piece], ask, threshold):
+                a.append(int(ids[piece[x]])), b.append(int(ids[piece[y]]))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _rest(docs: DataFrame, members: DataFrame, root: DataFrame, threshold: float) -> DataFrame:
+    """Edges (a, b) between different groups whose members meet in a bucket."""
+    of = lambda x: root.select(F.col("id").alias(x), F.col("root").alias(f"r{x}"))
+    met = written(members.join(of("a"), "a", "left").join(of("b"), "b", "left").select("band", "a", "b", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")))
+    mixed = met.groupBy("band").agg(F.ceil((F.count("*") + 1) / BLOCK).alias("blocks"), F.max(F.col("ra") != F.col("rb")).alias("differ")).where("differ").select("band", "blocks")
+    met = met.join(mixed, "band")
+    each = met.select("band", "blocks", F.col("b").alias("id"), F.col("rb").alias("root")).union(met.select("band", "blocks", F.col("a").alias("id"), F.col("ra").alias("root"))).distinct()
+    own = F.pmod(F.xxhash64("id"), "blocks")
+    each = written(each.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("p", F.least("own", "o")).withColumn("q", F.greatest("own", "o")))
+    pieces = 1 + each.count() // BLOCK
+    each = each.withColumn("key", F.pmod(F.xxhash64("band", "p", "q"), F.lit(pieces).cast("bigint"))).select(*PIECE)
+    sets = docs.join(small(each, 64), "id").select(*PIECE, "text").mapInArrow(_with_sets, ", ".join(f"{c} {t}" for c, t in PIECE.items()) + ", s binary")
+    return written(sets.groupBy("key").applyInArrow(_compared(threshold), "a bigint, b bigint"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, group_id) for every document of a group of two or more near duplicates.
 
@@ -183,7 +260,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(sketches.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.min_by(F.struct("regs", "bands"), "id").alias("s")).select("f1", "f2", "n", "id", "s.regs", "s.bands"))
     same = sketches.join(reps.select("f1", "f2", "n", F.col("id").alias("rep")), ["f1", "f2", "n"]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
     bucket = reps.select("id", F.explode("bands").alias("band"))
-    pairs = bucket.withColumn("a", F.min("id").over(Window.partitionBy("band"))).where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    members = written(bucket.withColumn("a", F.min("id").over(Window.partitionBy("band"))).where("a <> id").select("band", "a", F.col("id").alias("b")))
+    pairs = members.select("a", "b").distinct()
     half = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"k{x}"))
     left = written(pairs.join(half("b"), "b").join(half("a"), "a").mapInArrow(_estimate, "a bigint, b bigint, estimate double").where(F.col("estimate") >= threshold - MARGIN))
     edges, tried, per = same, None, 1
@@ -202,6 +280,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried = written(open_.withColumn("k", first).where(F.col("k") <= per).select("a", "b"))
         edges = written(edges.union(_verified(docs, tried, threshold)))
         per *= 4
+    rest = _rest(docs, members, root, threshold)
+    if rest.limit(1).count():
+        root = components(edges.union(rest))
     return root.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"))
 
 

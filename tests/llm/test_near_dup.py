@@ -50,6 +50,58 @@ def test_thousands_of_near_copies_are_one_group(make, prose):
     assert {r.group_id for r in got} == {0} and len(got) >= 1490
 
 
+def test_pairs_among_thousands_that_share_a_passage(spark, make, prose):
+    passage = prose(132, 7)
+    rng = np.random.default_rng(3)
+    own = lambda n: [f"own{x}" for x in rng.integers(0, 10**12, n)]
+    rows = [(i, " ".join(passage + own(100))) for i in range(3000)]  # similarity 0.39 with each other
+    pairs = []
+    for k in range(60):  # 0.48 within a pair, below the threshold with all others
+        extra = own(20)
+        a, b = 10_000 + 2 * k, 10_001 + 2 * k
+        rows += [(x, " ".join(passage + extra + own(80))) for x in (a, b)]
+        pairs.append((a, b))
+    bands = {}
+    for batch in near_dup._sketch([pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[3000:])], ["id", "text"])]):
+        bands |= dict(zip(batch.column("id").to_pylist(), map(set, batch.column("bands").to_pylist())))
+    meet = [(a, b) for a, b in pairs if bands[a] & bands[b]]
+    assert len(meet) >= 54
+    got = {r.doc_id: r.group_id for r in near_dup.near_duplicates(make(rows, clash=False)).collect()}
+    assert [p for p in meet if got.get(p[0]) == got.get(p[1]) == p[0]] == meet
+    assert len(got) == 2 * len(meet)  # and nobody else
+
+
+def test_joins_against_brute_force():
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 2**48, 60)
+    sets = [np.unique(np.concatenate([rng.choice(common, rng.integers(20, 60), replace=False), rng.integers(0, 2**48, 15)])).astype(np.uint64) for _ in range(80)]
+    first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    s, before = [set(x.tolist()) for x in sets], np.arange(80) // 2
+
+    def groups(edges):
+        of = before.tolist()
+        for a, b in edges:
+            of = [of[a] if g == of[b] else g for g in of]
+        return {frozenset(k for k in range(80) if of[k] == g) for g in of}
+
+    for threshold in (0.45, 0.6, 0.7):
+        for ask in (np.arange(80), np.arange(0, 80, 3)):
+            got = near_dup.joins(np.concatenate(sets), first, before, ask, threshold)
+            alike = [(a, b) for a in ask for b in range(80) if a != b and len(s[a] & s[b]) >= threshold * len(s[a] | s[b])]
+            assert set(got) <= set(alike) and groups(got) == groups(alike)
+
+
+def test_blocks_of_a_bucket_meet(monkeypatch, make, prose):
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    test_pairs = [(100 + 2 * k, 101 + 2 * k) for k in range(10)]
+    passage = prose(132, 8)
+    rows = [(i, " ".join(passage + prose(100, 500 + i))) for i in range(90)]
+    for k, p in enumerate(test_pairs):
+        rows += [(x, " ".join(passage + prose(60, 900 + k) + prose(40, 2000 + x))) for x in p]
+    got = {r.doc_id: r.group_id for r in near_dup.near_duplicates(make(rows, clash=False)).collect()}
+    assert all(got.get(a) == got.get(b) == a for a, b in test_pairs) and len(got) == 20
+
+
 def test_one_of_each_group_stays(make, prose):
     a, b = " ".join(prose(50, 1)), " ".join(prose(50, 2))
     df = make([(5, a), (3, a), (9, b), *ODD])
