@@ -8,6 +8,7 @@ code identifiers, of the corpus's own most frequent words, and of the surroundin
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -25,7 +26,7 @@ from .quality import kth_largest
 MIN_LENGTH = 16
 #: Bytes of text on either side that count as surroundings.
 SURROUNDINGS = 256
-#: Least compressed bytes a byte of the candidate, and least bytes in all; a random string finds no matches and has about 1 a byte.
+#: Least compressed bytes, as a share of what a random string of the same alphabet and length takes, and least bytes in all.
 NOVELTY, LEAST, LEVEL = 0.7, 10, 3
 #: Corpus words in the dictionary (it is the most frequent ones that help) and their lengths.
 WORDS, SHORTEST, LONGEST = 4000, 5, 40
@@ -56,6 +57,24 @@ def dictionary(words: list[bytes]) -> bytes:
     return b" ".join(words[::-1]) + b" " + b" ".join(IDENTIFIERS.encode().split())
 
 
+_CLASSES = (b"0123456789", b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"+/_-")
+_NARROW = (b"0123456789", b"0123456789abcdef", b"0123456789ABCDEF")
+
+
+def alphabet(candidate: bytes) -> bytes:
+    """Digits, hexadecimal digits of one case, or all of the kinds of characters that occur."""
+    own = set(candidate)
+    return next((x for x in _NARROW if own <= set(x)), None) or b"".join(x for x in _CLASSES if own & set(x))
+
+
+@functools.lru_cache(4096)
+def random_cost(letters: bytes, length: int) -> int:
+    """Compressed bytes of a random string: about 1 a byte, less where zstandard entropy-codes a long one of few letters."""
+    zstd = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False)
+    text = np.frombuffer(letters, np.uint8)[np.random.default_rng(length).integers(0, len(letters), length)].tobytes()
+    return min(length, len(zstd.compress(text)) - len(zstd.compress(b"")))
+
+
 class Meter:
     def __init__(self, raw: bytes):
         self.raw = raw
@@ -89,7 +108,7 @@ def _scan(raw: bytes) -> Callable:
                     lo, hi = max(int(off[d]), a - SURROUNDINGS), min(int(off[d + 1]), b + SURROUNDINGS)
                     text = buf[a:b].tobytes()
                     cost = meter.marginal(buf[lo:a].tobytes(), text, buf[b:hi].tobytes())
-                    if cost >= LEAST and cost >= NOVELTY * (b - a):
+                    if cost >= LEAST and cost >= NOVELTY * random_cost(alphabet(text), b - a):
                         chars = int(((buf[off[d] : a] & 0xC0) != 0x80).sum())
                         rows.append((batch.column(0)[i + d].as_py(), chars, b - a, name, text[:4].decode() + "*" * (b - a - 4), cost, cost / (b - a)))
                 if rows:

@@ -47,6 +47,19 @@ def test_candidates_against_one_regular_expression(prose):
         assert got == want
 
 
+def test_long_hexadecimal_keys(make, prose):
+    rows, keys = [], {}
+    for i, n in enumerate([64, 80, 96, 128, 256, 512] * 4):
+        s = "".join(hashlib.sha512(f"{i} {k}".encode()).hexdigest() for k in range(4))[:n]
+        keys[i] = s.upper() if i % 4 == 3 else s
+        rows.append((i, " ".join([*prose(40, i), f'secret_key = "{keys[i]}"', *prose(40, 100 + i)])))
+    for i, n in enumerate([128, 256, 512]):  # long, but not new
+        rows.append((100 + i, f'secret_key = "{"0123456789abcdef" * (n // 16)}"'))
+        rows.append((200 + i, f'secret_key = "{"_".join(["authentication_access_token"] * (n // 28))}"'))
+    got = secrets.secrets(make(rows)).collect()
+    assert {r.doc_id: r.length for r in got} == {i: len(s) for i, s in keys.items()}
+
+
 def test_a_repeated_secret_is_found_each_time(make):
     s = random_secret(1)
     got = secrets.secrets(make([(1, f'é token = "{s}" and token = "{s}"'), (1, f'token = "{s}"')])).collect()
