@@ -38,6 +38,14 @@ def discard(df: DataFrame) -> None:
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or the first of _name, __name ... that is no column of df, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 #: Bytes of a table up to which it is broadcast; larger ones are joined by shuffling.
 BROADCAST_BYTES = 48 << 20
 

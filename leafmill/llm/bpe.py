@@ -115,7 +115,7 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
     Every row gives a row, whatever its id.  A null text gives nulls, an empty one no
     tokens.  Other columns are ignored; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return docs.mapInArrow(_encoder(path), "doc_id bigint, tokens array<int>, n_tokens bigint, exact boolean")
 
 
@@ -134,5 +134,5 @@ def decoded(tokens: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens
 
     Ids outside the vocabulary raise an error.
     """
-    docs = tokens.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(tokens_col).cast("array<int>").alias("tokens"))
+    docs = tokens.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(tokens_col).cast("array<int>").alias("tokens"))
     return docs.mapInArrow(_decoder(path), "doc_id bigint, text string")

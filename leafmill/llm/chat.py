@@ -25,6 +25,7 @@ RESETS = ("message", "start", "edit", "regenerate", "delete")
 def final_messages(events: DataFrame) -> DataFrame:
     """(conv_id, msg, role, content) after all events (conv_id, seq, kind, msg, role, text).
 
+    seq may be of any type that has an order, structs of numbers too.
     Events without a conversation, sequence number, message number or known kind are left
     out and repeated rows count once.  Of different events with one sequence number the
     greatest reset in order of kind and text counts, and deltas follow it in order of text.  A null text is empty; a message's
@@ -76,5 +77,4 @@ def turn_events(turns: DataFrame) -> DataFrame:
     stream = F.concat(F.array(event(kind, F.lit(""))), F.transform(lines, lambda x: event("delta", x)))
     whole = F.array(event(kind, F.col("text")))
     e = t.select("conv_id", "turn", "msg", "role", F.posexplode(F.when(streamed, stream).otherwise(whole)).alias("i", "e"))
-    # no order of bits is lost: a turn has fewer than 2**31 lines
-    return e.select("conv_id", (F.col("turn") * F.lit(1 << 31) + F.col("i")).alias("seq"), "e.kind", "msg", "role", "e.text")
+    return e.select("conv_id", F.struct("turn", "i").alias("seq"), "e.kind", "msg", "role", "e.text")

@@ -11,7 +11,9 @@ substitutions of words).
 2. *Embedding.*  The others go through the CGK random walk, which maps edit distance to
    Hamming distance: step t copies the current word and moves on by a random bit of
    (t, word).  Repeated bit-sampling LSH, each repetition with its own walk and sample of
-   coordinates, compares windows with the items of their length.
+   coordinates, compares windows with the items of their length.  Items so long that no
+   number of repetitions within LIMIT reaches the recall go without: for them every window
+   that passes the count is aligned.
 3. *Verification.*  Each pair that collides is aligned exactly (Sellers' dynamic program
    over the region around the window).
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as tx
-from ._store import small, written
+from ._store import free, small, written
 
 U64 = np.uint64
 MAX_EDIT = 0.15
@@ -38,6 +40,8 @@ RECALL = 0.95
 SAMPLE = 4
 #: Items whose index a task holds at once (some 4 MB); a larger benchmark takes one pass a block.
 BLOCK = 20_000
+#: Items of more than LONG words, or that would take over LIMIT repetitions, aren't embedded: all windows that pass the count are aligned.
+LONG, LIMIT = 1000, 400
 #: Bytes of windows that a task gathers before it embeds them.
 HELD = 64 << 20
 
@@ -52,19 +56,21 @@ def edited(words: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return np.array(out, U64)
 
 
-def repetitions(n: int, k: int, recall: float = RECALL) -> int:
-    """Repetitions that the recall aimed at takes for strings k edits apart, found by simulation on 200 pairs."""
+def repetitions(n: int, k: int, recall: float = RECALL) -> int | None:
+    """Repetitions that the recall aimed at takes for strings k edits apart, found by simulation on 200 pairs; None beyond LIMIT."""
     if k == 0:
         return 1
+    if n > LONG:
+        return None
     rng = np.random.default_rng([n, k])
     a = rng.integers(1, 2**62, (200, n)).astype(U64)
     b = np.stack([np.concatenate([edited(x, k, rng), rng.integers(1, 2**62, k).astype(U64)])[:n] for x in a])
     found = np.zeros(200, bool)
-    for r, (x, y) in enumerate(zip(tables(a, n, k, 1000), tables(b, n, k, 1000))):
+    for r, (x, y) in enumerate(zip(tables(a, n, k, LIMIT), tables(b, n, k, LIMIT))):
         found |= x == y
         if found.mean() >= recall:
-            break
-    return r + 1
+            return r + 1
+    return None
 
 
 def embed(words: np.ndarray, n: int, seed: int, steps: np.ndarray) -> np.ndarray:
@@ -126,7 +132,7 @@ class Index:
             if self.edits[n] == 0:
                 self.whole[n] = np.unique(np.concatenate([tx.ngram(r, n) for r in rows]))
             self.buckets[n] = []
-            for key in tables(rows, n, self.edits[n], self.repeat[n]):
+            for key in tables(rows, n, self.edits[n], self.repeat[n] or 0):
                 order = np.argsort(key)
                 self.buckets[n].append((key[order], own[order]))
         # for each bucket of 2-grams, a bit for each length of the items that hold one (modulo 64)
@@ -138,18 +144,18 @@ class Index:
     def _bucket(self, words: np.ndarray) -> np.ndarray:
         return (tx.ngram(words, 2) >> U64(64 - self.bits)).astype(np.int64)
 
-    def windows(self, w: tx.Words) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """By length n: (document, first word, words around) of the chunk's windows that may match; around: n before, the window, n + k after."""
-        h, doc, total, out = w.hash, w.doc, len(w.hash), {}
+    def windows(self, w: tx.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(length n, document, first word, words around) of the chunk's windows that may match, in slices; around: n before, the window, n + k after."""
+        h, doc, total = w.hash, w.doc, len(w.hash)
         if not total:
-            return out
+            return
         mask = self.grams[self._bucket(h)] if total > 1 else np.zeros(0, U64)
         at = np.flatnonzero(mask)
         at = at[doc[at] == doc[np.minimum(at + 1, total - 1)]]
-        mask = mask[at]
+        found = mask[at]
         for n, k in self.edits.items():
             if k:
-                start = _dense(at[(mask & U64(1 << (n % 64))) != 0], n, max(1, n - 1 - 2 * k))
+                start = _dense(at[(found & U64(1 << (n % 64))) != 0], n, max(1, n - 1 - 2 * k))
                 # windows may pass a document's end by the k words that deletions save
                 start = start[start + n - k <= w.first[doc[start] + 1]]
             else:
@@ -158,17 +164,22 @@ class Index:
                 x = g[start]
                 near = np.minimum(np.searchsorted(self.whole[n], x), len(self.whole[n]) - 1)
                 start = start[self.whole[n][near] == x]
-            if len(start):
-                d = doc[start]
-                place = start[:, None] + np.arange(-n, 2 * n + k)
+            step = max(1, HELD // (32 * (3 * n + k)))
+            for i in range(0, len(start), step):
+                own = start[i : i + step]
+                d = doc[own]
+                place = own[:, None] + np.arange(-n, 2 * n + k)
                 inside = (place >= w.first[d][:, None]) & (place < w.first[d + 1][:, None])
-                out[n] = d, start - w.first[d], np.where(inside, h[np.clip(place, 0, total - 1)], U64(0))
-        return out
+                yield n, d, own - w.first[d], np.where(inside, h[np.clip(place, 0, total - 1)], U64(0))
 
     def matches(self, n: int, doc: np.ndarray, start: np.ndarray, around: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, distance, first word) of the verified pairs among windows for items of n words, the best of each."""
         k, best, pairs = self.edits[n], {}, defaultdict(list)
-        for key, (sorted_, own) in zip(tables(around[:, n : 2 * n], n, k, self.repeat[n]), self.buckets[n]):
+        if self.repeat[n] is None:
+            for r, d in enumerate(doc.tolist()):
+                for item in self.by_length[n]:
+                    pairs[(d, int(item))].append(r)
+        for key, (sorted_, own) in zip(tables(around[:, n : 2 * n], n, k, self.repeat[n] or 0), self.buckets[n]):
             a, b = np.searchsorted(sorted_, key), np.searchsorted(sorted_, key, "right")
             for r in np.flatnonzero(b > a):
                 for item in own[a[r] : b[r]]:
@@ -204,19 +215,26 @@ def _dense(grams: np.ndarray, n: int, need: int) -> np.ndarray:
 
 
 def _scan(index: Index) -> Callable:
+    def moved(i: int, w: tx.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for n, d, start, around in index.windows(w):
+            yield n, d + i, start, around
+
+    def found(ids: np.ndarray, held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        rows = [x for n, parts in held.items() for x in index.matches(n, *map(np.concatenate, zip(*parts)))]
+        if rows:
+            d, item, e, s = map(np.array, zip(*rows))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(item), pa.array(e), pa.array(s)], ["doc_id", "item_id", "edits", "start_word"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, held, waiting = tx.int64(batch.column(0)), defaultdict(list), 0
-            for i, j, buf, off in tx.chunks(batch.column(1)):
-                for n, (d, start, around) in index.windows(tx.words(buf, off)).items():
-                    held[n].append((d + i, start, around))
-                    waiting += around.nbytes
-                if waiting > HELD or j == len(batch):
-                    found = [x for n, parts in held.items() for x in index.matches(n, *map(np.concatenate, zip(*parts)))]
+            for n, d, start, around in (x for i, _, buf, off in tx.chunks(batch.column(1)) for x in moved(i, tx.words(buf, off))):
+                held[n].append((d, start, around))
+                waiting += around.nbytes
+                if waiting > HELD:
+                    yield from found(ids, held)
                     held, waiting = defaultdict(list), 0
-                    if found:
-                        d, item, e, s = map(np.array, zip(*found))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[d]), pa.array(item), pa.array(e), pa.array(s)], ["doc_id", "item_id", "edits", "start_word"])
+            yield from found(ids, held)
 
     return run
 
@@ -230,8 +248,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     repeat an id count as one document or item with several texts.  Other columns are
     ignored, and either table may be empty.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text <> ''")
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("i"), F.col(item_text_col).alias("t")).where("i IS NOT NULL AND t <> ''").distinct()
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text <> ''")
+    items = benchmark.select(F.col(f"`{item_col}`").cast("bigint").alias("i"), F.col(f"`{item_text_col}`").alias("t")).where("i IS NOT NULL AND t <> ''").distinct()
     out, held = None, []
     kind = "doc_id bigint, item_id bigint, edits bigint, start_word bigint"
 
@@ -254,5 +272,6 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
     Rows without an id stay, as do null and empty texts.
     """
-    found = written(leaks(docs, benchmark, id_col, text_col, max_edit=max_edit).select(F.col("doc_id").alias("__leak")).distinct())
-    return docs.join(small(found), docs[id_col].cast("bigint") == F.col("__leak"), "left_anti")
+    leak = free(docs, "leak")
+    found = written(leaks(docs, benchmark, id_col, text_col, max_edit=max_edit).select(F.col("doc_id").alias(leak)).distinct())
+    return docs.join(small(found), F.col(f"`{id_col}`").cast("bigint") == F.col(leak), "left_anti")

@@ -244,7 +244,7 @@ def _sum(part: pa.Table) -> pa.Table:
 
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, n): every distinct word of the corpus, after a blank, and how often it occurs."""
-    return docs.select(F.col(text_col)).mapInArrow(_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(f"`{text_col}`")).mapInArrow(_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def trained(words: DataFrame, path: str = VOCABULARY, iterations: int = ITERATIONS) -> np.ndarray:
@@ -290,7 +290,7 @@ def scored(docs: DataFrame, score: np.ndarray, id_col: str = "doc_id", text_col:
     space) has log probability 0 and null bits per byte.  A word is scored whole however
     long it is.  Other columns are ignored; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     got = docs.mapInArrow(_scores(path, score), "doc_id bigint, log_prob double, n_words bigint, n_bytes bigint")
     return got.withColumn("bits_per_byte", F.when(F.col("n_words") > 0, -F.col("log_prob") / F.lit(float(np.log(2))) / F.col("n_bytes")))
 

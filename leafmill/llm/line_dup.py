@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import BROADCAST_BYTES, written
+from ._store import BROADCAST_BYTES, free, written
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -25,7 +25,7 @@ def host_of(url: Column) -> Column:
 
 def boilerplate(pages: DataFrame, host_col: str, text_col: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, lines): the 64-bit hashes of each host's boilerplate lines."""
-    p = pages.select(F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text")).where("host IS NOT NULL")
+    p = pages.select(F.col(f"`{host_col}`").cast("string").alias("host"), F.col(f"`{text_col}`").alias("text")).where("host IS NOT NULL")
     hashes = F.array_distinct(F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.xxhash64(x)))
     seen = p.select("host", F.explode(hashes).alias("line")).groupBy("host", "line").agg(F.count("*").alias("c")).where(F.col("c") >= min_pages)
     total = p.groupBy("host").agg(F.count("*").alias("n"))
@@ -43,7 +43,7 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     table gives an empty result.
     """
     bad = written(boilerplate(pages, host_col, text_col, ratio, min_pages))
-    host, lines, text = (_free(pages, x) for x in ("host", "lines", "text"))
+    host, lines, text = (free(pages, x) for x in ("host", "lines", "text"))
     bad = bad.select(F.col("host").alias(host), F.col("lines").alias(lines))
     size = bad.agg(F.coalesce(F.sum(F.size(lines) * 8 + 64), F.lit(0))).first()[0]
     joined = pages.join(F.broadcast(bad) if size <= BROADCAST_BYTES else bad, F.col(f"`{host_col}`").cast("string") == F.col(host), "left")
@@ -54,8 +54,3 @@ def drop_boilerplate(pages: DataFrame, host_col: str = "source", text_col: str =
     columns = [F.when(F.col(text).isNotNull(), F.array_join(text, "\n")).otherwise(own).alias(c) if c == text_col else F.col(f"`{c}`") for c in pages.columns]
     return joined.select(*columns, *([dropped.cast("bigint").alias(count_col)] if count_col else []))
 
-
-def _free(df: DataFrame, name: str) -> str:
-    while name in df.columns:
-        name = "_" + name
-    return name

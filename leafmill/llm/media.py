@@ -100,7 +100,7 @@ def luma(data: bytes) -> np.ndarray:
     """The luma plane (uint8) of a baseline JPEG; raises Broken where it isn't one."""
     try:
         return _luma(data)
-    except (IndexError, KeyError, struct.error) as e:
+    except (ArithmeticError, LookupError, ValueError, struct.error) as e:
         raise Broken(str(e)) from e
 
 
@@ -145,6 +145,9 @@ def _luma(data: bytes) -> np.ndarray:
     wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
     across, down = -(-width // (8 * wide)), -(-height // (8 * high))
     segments = _segments(data, at)
+    # a block takes two bits at least, so a damaged size costs no memory
+    if across * down * sum(h * v for _, h, v, _ in parts) > 4 * sum(map(len, segments)):
+        raise Broken("frame ends early")
     blocks = np.zeros((down * parts[0][2], across * parts[0][1], 64))
     plan = [(k, h, v, _table(huff[(0, use[i] >> 4)]), _table(huff[(1, use[i] & 15)])) for k, (i, h, v, _) in enumerate(parts)]
     bits, last, segment = _Bits(segments[0]), [0] * len(parts), 0
@@ -326,7 +329,7 @@ def clip_rows(videos: DataFrame, id_col: str = "video_id", data_col: str = "data
     one before.  Rows that repeat an id, or have none, are each a file.  Other columns are
     ignored; an empty table gives an empty result.
     """
-    videos = videos.select(F.col(id_col).cast("bigint").alias("id"), F.col(data_col).alias("data"))
+    videos = videos.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{data_col}`").alias("data"))
     return videos.mapInArrow(_clips, "video_id bigint, clip bigint, first_frame bigint, n_frames bigint, start_s double, end_s double")
 
 

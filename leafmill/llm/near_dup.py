@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import _text as tx
 from ._graph import components
-from ._store import small, written
+from ._store import free, small, written
 
 U64 = np.uint64
 #: Words of a shingle.
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeat an id are one document with any of their texts.  Other columns are ignored.  An empty table gives an
     empty result.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL")
     sketches = written(docs.mapInArrow(_sketch, SKETCH))
     # equal sets collapse before the shuffle, so a set of many copies is no hot key
     reps = written(sketches.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.min_by(F.struct("regs", "bands"), "id").alias("s")).select("f1", "f2", "n", "id", "s.regs", "s.bands"))
@@ -293,5 +293,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     stay or all go.
     """
     groups = near_duplicates(docs, id_col, text_col, threshold).where("doc_id <> group_id")
-    gone = small(written(groups.select(F.col("doc_id").alias("__gone"))))
-    return docs.join(gone, docs[id_col].cast("bigint") == gone["__gone"], "left_anti")
+    gone = free(docs, "gone")
+    return docs.join(small(written(groups.select(F.col("doc_id").alias(gone)))), F.col(f"`{id_col}`").cast("bigint") == F.col(gone), "left_anti")

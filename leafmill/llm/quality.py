@@ -1,14 +1,16 @@
 """Operator 1: quality selection by importance resampling.
 
 Two generative models over hashed n-grams (words and punctuation runs, and pairs of them)
-are counted: one from the labelled good documents, one from all documents.  A document's
-evidence is the logarithm of their ratio, summed over its n-grams; its parts, made
-comparable between lengths, are turned into log odds by a logistic fit on labelled
-documents that were left out of the counts.  Weights are these odds to the power
-SHARPNESS, and Gumbel top-k draws, without replacement and proportionally to the weights, as
-many documents as have odds above one.
-
-Counting and scoring are maps; only the count tables (fixed size) and three numbers a
+are counted: the target's from the labelled good documents, the raw one from all documents.
+A document's log weight is the logarithm of their ratio: summed over its n-grams, a pair
+counting PAIR_WEIGHT of a token, and taken to LENGTH tokens, so that documents of all
+lengths compare.  A single n-gram speaks for the target by no more than its ceiling, else
+the many ordinary words of a long document would outweigh what the target never says; it
+may speak against it without bound.  Gumbel top-k then draws k documents, without
+replacement and in proportion to their weights; k is a parameter, by default the labels'
+share of good documents among all.
+
+Counting and scoring are maps; only the count tables (fixed size) and two numbers a
 document move.
 """
 
@@ -17,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,16 +31,11 @@ U64 = np.uint64
 #: Buckets of words and of pairs, as powers of two.
 BITS, PAIR_BITS = 19, 17
 SIZE = (1 << BITS) + (1 << PAIR_BITS)
-SMOOTH = 2.0
-#: A unigram counts as evidence against a document where its log ratio is below this.
-AGAINST = -1.5
-#: and as strong evidence by what it falls below minus this.
-STRONG = 3.0
-#: Labelled documents that the logistic fit uses at most, and the share left out of the counts for it.
-CALIBRATION = 20_000
-LEFT_OUT = 5
-SHARPNESS = 4.0
-FEATURES = ("word_ratio", "pair_ratio", "against", "against_share", "worst", "strong", "length")
+SMOOTH = 1.0
+#: Most that a token's and a pair's log ratio counts for, and a pair's weight in tokens.
+CEILING, PAIR_CEILING, PAIR_WEIGHT = -0.7, -1.5, 0.5
+#: Tokens that log weights are taken to.
+LENGTH = 1000
 _CLASS = np.full(256, 2, np.uint8)
 _CLASS[[9, 10, 11, 12, 13, 32]] = 0
 _CLASS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = 1
@@ -99,22 +95,14 @@ def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
     return np.concatenate(out).astype(np.float32)
 
 
-def features(buf: np.ndarray, off: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, features) of each document."""
+def log_weights(buf: np.ndarray, off: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, log weight) of each document."""
     doc, one, two = grams(buf, off)
     docs = len(off) - 1
     n = np.bincount(doc, minlength=docs)
-    total = lambda x: np.bincount(doc, x, docs)
-    r = ratio[one]
-    bad = r < AGAINST
-    pair = np.where(two >= 0, ratio[two], 0)
-    least = np.maximum(n, 1)
-    against = total(np.where(bad, -r, 0))
-    worst = np.zeros(docs)
-    has = np.flatnonzero(n)
-    if len(has):
-        worst[has] = -np.minimum.reduceat(r, np.searchsorted(doc, has))
-    return n, np.stack([total(r) / least, total(pair) / least, np.log1p(against), against / least, worst, np.log1p(total(np.maximum(-r - STRONG, 0))), np.log1p(n)], 1)
+    pair = np.where(two >= 0, np.minimum(ratio[two], PAIR_CEILING) - PAIR_CEILING, 0)
+    total = np.bincount(doc, np.minimum(ratio[one], CEILING) - CEILING + PAIR_WEIGHT * pair, docs)
+    return n, LENGTH * total / np.maximum(n, 1)
 
 
 def _score(ratio: np.ndarray, text: str, added: list[str]) -> Callable:
@@ -122,31 +110,25 @@ def _score(ratio: np.ndarray, text: str, added: list[str]) -> Callable:
         for batch in batches:
             if not len(batch):
                 continue
-            got = [features(buf, off, ratio) for _, _, buf, off in tx.chunks(batch.column(text))]
-            n, x = np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), *(pa.array(c) for c in x.T)], [*batch.schema.names, *added])
+            got = [log_weights(buf, off, ratio) for _, _, buf, off in tx.chunks(batch.column(text))]
+            n, x = (np.concatenate(c) for c in zip(*got))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(x)], [*batch.schema.names, *added])
 
     return run
 
 
 class Model:
-    """A fitted selection: log ratios, logistic coefficients and the drawn threshold."""
+    """Log ratios of the n-grams, the noise's seed, and the least key drawn."""
 
-    def __init__(self, ratio: np.ndarray, weights: np.ndarray | None, seed: int):
-        self.ratio, self.weights, self.seed, self.least = ratio, weights, seed, -np.inf
+    def __init__(self, ratio: np.ndarray, seed: int):
+        self.ratio, self.seed, self.least = ratio, seed, -np.inf
 
     def scored(self, docs: DataFrame, id_col: str, text_col: str, prefix: str) -> DataFrame:
-        """docs with columns prefix + tokens, features, odds (log odds) and key."""
-        added = [prefix + x for x in ("tokens", *FEATURES)]
-        schema = T.StructType([*docs.schema.fields, T.StructField(added[0], T.LongType()), *(T.StructField(x, T.DoubleType()) for x in added[1:])])
-        df = docs.mapInArrow(_score(self.ratio, text_col, added), schema)
-        odds = F.lit(1.0)
-        if self.weights is not None:
-            odds = F.lit(float(self.weights[0]))
-            for w, x in zip(self.weights[1:], added[1:]):
-                odds = odds + F.lit(float(w)) * F.col(x)
-        df = df.withColumn(prefix + "odds", F.when(F.col(added[0]) > 0, odds))
-        return df.withColumn(prefix + "key", F.col(prefix + "odds") * SHARPNESS + gumbel(F.col(id_col), self.seed))
+        """docs with columns prefix + tokens, weight (its logarithm) and key, both null where there is no token."""
+        tokens, weight = prefix + "tokens", prefix + "weight"
+        schema = T.StructType([*docs.schema.fields, T.StructField(tokens, T.LongType()), T.StructField(weight, T.DoubleType())])
+        df = docs.mapInArrow(_score(self.ratio, text_col, [tokens, weight]), schema).withColumn(weight, F.when(F.col(tokens) > 0, F.col(weight)))
+        return df.withColumn(prefix + "key", F.col(weight) + gumbel(F.col(f"`{id_col}`"), self.seed))
 
 
 def gumbel(id_: Column, seed: int) -> Column:
@@ -155,21 +137,6 @@ def gumbel(id_: Column, seed: int) -> Column:
     return -F.log(-F.log(u))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
-    """Intercept and coefficients by Newton's method on standardised columns."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.concatenate([np.ones((len(x), 1)), (x - mean) / scale], 1)
-    w = np.zeros(z.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        grad = z.T @ (p - y) + ridge * len(x) * w
-        step = np.linalg.solve((z * (p * (1 - p) + 1e-9)[:, None]).T @ z + ridge * len(x) * np.eye(len(w)), grad)
-        w -= step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
-        if np.abs(step).max() < 1e-8:
-            break
-    return np.concatenate([[w[0] - (w[1:] * mean / scale).sum()], w[1:] / scale])
-
-
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
     """The k-th largest value of a column, by histograms that narrow down to at most 50,000 values."""
     if k <= 0:
@@ -194,51 +161,49 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
     return low
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, calibration: int = CALIBRATION) -> tuple[Model, DataFrame]:
-    """The model, and the table (id, tokens, odds, key) of all documents.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, k: int | None = None) -> tuple[Model, DataFrame]:
+    """The model, and the table (id, tokens, weight, key) of all documents.
 
-    `calibration` bounds the labelled documents of the logistic fit; counts take all.  A
-    label is good where all rows of its document have quality 1 and toxic 0; rows with
-    nulls are left out.
+    A label is good where all rows of its document have quality 1 and toxic 0; rows with
+    nulls are left out.  Counts take all documents, and all good ones for the target.  k is
+    the number of documents to draw, by default the share of good labels of those that hold
+    a token.
     """
     marks = labels.select(F.col("doc_id").cast("bigint").alias("i"), "quality", "toxic").dropna().groupBy("i").agg(F.min(((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int")).alias("good"))
-    marks = written(marks.withColumn("h", F.xxhash64("i", F.lit(11))))
-    out = F.pmod("h", F.lit(LEFT_OUT)) == 0
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    chosen = written(marks.where(~out & (F.col("good") == 1)).select(F.col("i").alias("id"), F.lit(True).alias("good")))
-    counted = texts.join(small(chosen), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    marks = written(marks)
+    of, good = marks.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
+    texts = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    chosen = marks.where("good = 1").select(F.col("i").alias("id"), F.lit(True).alias("good"))
+    counted = texts.join(small(written(chosen)), "id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     table = counted.mapInArrow(_count, "part int, raw binary, good binary").groupBy("part").applyInArrow(_add, "part int, raw binary, good binary").orderBy("part").collect()
-    raw, good = (np.concatenate([np.frombuffer(r[c], np.int64) for r in table]) if table else np.zeros(SIZE, np.int64) for c in ("raw", "good"))
-    model = Model(log_ratios(raw, good), None, seed)
-    first = written(model.scored(texts, "id", "text", "").select("id", "tokens", *FEATURES))
-    held = marks.where(out).orderBy("h").limit(calibration).select(F.col("i").alias("id"), "good")
-    sample: pd.DataFrame = first.where("tokens > 0").join(F.broadcast(held), "id").select("good", *FEATURES).toPandas()
-    if sample["good"].nunique() == 2:
-        model.weights = logistic(sample[list(FEATURES)].to_numpy(), sample["good"].to_numpy())
-    odds = F.lit(1.0)
-    if model.weights is not None:
-        odds = sum((F.lit(float(w)) * F.col(x) for w, x in zip(model.weights[1:], FEATURES)), F.lit(float(model.weights[0])))
-    table = first.select("id", "tokens", F.when(F.col("tokens") > 0, odds).alias("odds")).withColumn("key", F.col("odds") * SHARPNESS + gumbel(F.col("id"), seed))
-    model.least = kth_largest(table.where("odds IS NOT NULL"), "key", table.where("odds >= 0").count())
-    return model, table
-
-
-def selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """(doc_id, log_odds, key) of the documents drawn.
+    raw, target = (np.concatenate([np.frombuffer(r[c], np.int64) for r in table]) if table else np.zeros(SIZE, np.int64) for c in ("raw", "good"))
+    model = Model(log_ratios(raw, target if good else raw), seed)
+    first = written(model.scored(texts, "id", "text", "").drop("text"))
+    if k is None and 0 < good < of:
+        k = round(first.where("tokens > 0").count() * good / of)
+    if k is not None:
+        model.least = kth_largest(first.where("key IS NOT NULL"), "key", k)
+    return model, first
+
+
+def selected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, k: int | None = None) -> DataFrame:
+    """(doc_id, log_weight, key) of the documents drawn.
 
     Ties at the threshold all stay.  Documents without a token (null or blank) give no
-    evidence and are rejected.  Where the labels don't hold both kinds, all others stay
-    with log odds 1.  Rows that repeat an id are judged each by its own text, with the same
+    evidence and are rejected.  Where the labels don't hold both kinds and no k is given,
+    all others stay.  Rows that repeat an id are judged each by its own text, with the same
     noise; a null id is an id like another.  Other columns are ignored; an empty table gives an empty result.
     """
-    model, table = fit(docs, labels, id_col, text_col, seed)
-    return table.where(F.col("key") >= float(model.least)).select(F.col("id").alias("doc_id"), F.col("odds").alias("log_odds"), "key")
+    model, table = fit(docs, labels, id_col, text_col, seed, k)
+    return table.where(F.col("key") >= float(model.least)).select(F.col("id").alias("doc_id"), F.col("weight").alias("log_weight"), "key")
+
 
+def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, k: int | None = None) -> DataFrame:
+    """The rows of docs that `selected` draws, with the columns of docs, whatever their names.
 
-def kept(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 7) -> DataFrame:
-    """The rows of docs that `selected` draws, with the columns of docs."""
-    model, _ = fit(docs, labels, id_col, text_col, seed)
-    prefix = "q_"
-    while any(c.startswith(prefix) for c in docs.columns):
-        prefix = "_" + prefix
-    return model.scored(docs, id_col, text_col, prefix).where(F.col(prefix + "key") >= float(model.least)).select(*(f"`{c}`" for c in docs.columns))
+    Scores once more, in a map: that costs less than a join of all texts with their keys.
+    """
+    model, _ = fit(docs, labels, id_col, text_col, seed, k)
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = model.scored(docs.toDF(*names.values()), names[id_col], names[text_col], "q_").where(F.col("q_key") >= float(model.least))
+    return plain.select(*(F.col(x).alias(c) for c, x in names.items()))

@@ -133,5 +133,5 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     row, in each row of docs that holds it, whatever its id; null and empty texts give
     none.  Other columns are ignored; an empty table gives an empty result.
     """
-    docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return docs.mapInArrow(_scan(dictionary(frequent_words(docs))), "doc_id bigint, start bigint, length bigint, name string, masked string, marginal_bytes bigint, novelty double")

@@ -326,7 +326,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text <> ''")
+    docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("id"), F.col(f"`{text_col}`").alias("text")).where("id IS NOT NULL AND text <> ''")
     first = written(docs.mapInArrow(_anchor_shards(min_words), SHARD))
     held = written(_judged(first).mapInArrow(_by_document, "doc_id bigint, pos binary").groupBy(F.col("doc_id").alias("id")).agg(F.array_join(F.collect_list(F.hex("pos")), "").alias("h")).select("id", F.unhex("h").alias("pos")))
     size = held.agg(F.coalesce(F.sum(F.length("pos")), F.lit(0))).first()[0]

@@ -67,3 +67,18 @@ def test_turns_against_sql(spark, tmp_path):
 def test_empty_table(spark):
     assert chat.rendered(spark.createDataFrame([], SCHEMA)).collect() == []
     assert chat.rendered(chat.turn_events(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string"))).collect() == []
+
+
+def test_turns_of_any_size_and_clashing_columns(spark, tmp_path):
+    big = [0, 2**31, 2**33, 1_764_000_000_000, 2**63 - 1, -(2**63)]
+    rows = [(9, t, "assistant" if i % 2 else "user", f"{i}\nx", "y", "z") for i, t in enumerate(big)]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, seq string, msg string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [tuple(r) for r in chat.rendered(chat.turn_events(df)).collect()]
+    assert got == duck(queries.OP8_SQL, tmp_path, ("conv_id", "n_messages", "rendered"))
+
+
+def test_a_long_stream_keeps_its_order(spark):
+    text = "".join(f"line {i}\n" for i in range(50_000))
+    (r,) = chat.rendered(chat.turn_events(spark.createDataFrame([(1, 0, "assistant", text)], "conv_id bigint, turn bigint, role string, text string"))).collect()
+    assert r.rendered == f"<|assistant|>\n{text}<|end|>\n"

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 from conftest_llm import ODD
@@ -91,3 +93,35 @@ def test_gathering_windows_piece_by_piece_gives_the_same(spark, make, prose, mon
     monkeypatch.setattr(tx, "CHUNK", 500)
     monkeypatch.setattr(tx.chunks, "__defaults__", (500,))
     assert rows() == whole
+
+
+def test_clashing_columns(spark, prose):
+    item = " ".join(prose(30, 1))
+    rows = [(1, "before " + item, 5, 6, "x"), (2, " ".join(prose(60, 2)), 5, 6, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, leak int, `_Leak` int, `a.b` string").withColumnRenamed("doc_id", "the.id")
+    kept = dc.decontaminated(df, spark.createDataFrame([(7, item, 1)], "item_id bigint, text string, leak int"), id_col="the.id")
+    assert kept.columns == df.columns and [r[0] for r in kept.collect()] == [2]
+
+
+def test_items_too_long_to_embed_are_aligned(spark, make, prose, monkeypatch):
+    monkeypatch.setattr(dc, "LONG", 20)
+    monkeypatch.setattr(dc, "LIMIT", 1)
+    items, docs = fixture(prose)
+    truth = {(d, i) for d, text in docs for i, t in items for w in [words(t)] if dc.distance(w, words(text))[0] <= int(dc.MAX_EDIT * len(w) + 1e-9)}
+    index = dc.Index([i for i, _ in items], [t for _, t in items], dc.MAX_EDIT)
+    assert sum(x is None for x in index.repeat.values()) > 30
+    got = {(r.doc_id, r.item_id) for r in dc.leaks(make(docs), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == truth
+
+
+def test_windows_of_a_repeating_document_take_bounded_memory(prose, monkeypatch):
+    monkeypatch.setattr(dc, "HELD", 1 << 20)
+    item = " ".join(prose(100, 3))
+    index = dc.Index([1], [item], dc.MAX_EDIT)
+    batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([" ".join([item] * 200)])], ["id", "text"])
+    tracemalloc.start()
+    rows = [r for b in dc._scan(index)(iter([batch])) for r in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in rows} == {(5, 1, 0)}
+    assert peak < 80 * len(item) * 200  # all windows at once would take 320 bytes a byte of text

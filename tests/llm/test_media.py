@@ -117,3 +117,44 @@ def test_query_against_the_vectors(spark, sf_dir):
     want = {v: {queries.FRAMES * k for k in range(c)} for v, c in n.items()}
     hits = sum(len(got[v] & want[v]) for v in n)
     assert hits >= 0.9 * sum(map(len, want.values())) and sum(map(len, got.values())) <= 1.02 * sum(map(len, want.values()))
+
+
+def test_damaged_files_never_raise():
+    """Bytes changed, cut out or cut off anywhere, in files and in bare frames: clips or nothing, and no other error."""
+    rng = np.random.default_rng(5)
+    whole, frame = media.avi(film([2, 2]), 16, 16), media.jpeg(blocks(rng.integers(0, 256, (16, 16))))
+    for n in range(3000):
+        data = bytearray(whole if n % 3 else frame)
+        for _ in range(int(rng.integers(1, 6))):
+            at = int(rng.integers(0, len(data)))
+            kind = rng.integers(0, 4)
+            if kind < 2:
+                data[at] = int(rng.integers(0, 256))
+            elif kind == 2:
+                del data[at : at + int(rng.integers(1, 9))]
+            elif len(data) > 40:
+                del data[max(40, at) :]
+        if n % 3:
+            assert all(c[2] > 0 for c in media.clips(bytes(data)))
+        else:
+            try:
+                assert media.luma(bytes(data)).dtype == np.uint8
+            except media.Broken:
+                pass
+
+
+def test_wide_quantisation_tables_and_sizes():
+    frame = media.jpeg(blocks(np.full((16, 16), 90)))
+    at = frame.index(b"\xff\xdb")
+    wide = b"\xff\xdb" + struct.pack(">H", 131) + b"\x10" + struct.pack(">64H", *[1] * 64)
+    assert (media.luma(frame[:at] + wide + frame[at + 69 :]) == media.luma(frame)).all()
+    with pytest.raises(media.Broken):
+        media.luma(frame[: at + 4] + b"\x10" + frame[at + 5 :])  # flagged wide, but short
+    at = frame.index(b"\xff\xc0")
+    with pytest.raises(media.Broken):  # as large as a header can say: refused before any memory is taken
+        media.luma(frame[: at + 5] + b"\xff\xff\xff\xff" + frame[at + 9 :])
+
+
+def test_a_very_long_film():
+    shot = film([400, 300], noise=1)
+    assert [c[2] for c in media.clips(media.avi(shot * 3, 16, 16))] == [400, 300] * 3
