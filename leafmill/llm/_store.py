@@ -22,20 +22,32 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def _place(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: a cut in lineage that survives lost executors."""
+    """Write df to the shared folder and read it back: a cut in lineage that survives lost executors.
+
+    The files go when the driver ends, if `discard` hasn't deleted them before.
+    """
     spark = df.sparkSession
     path = f"{folder(spark)}/leafmill-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, at = _place(spark, path)
+    files.deleteOnExit(at)
     back = spark.read.schema(df.schema).parquet(path)
     back.written_at = path
     return back
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that `written` returned and that nothing reads any more."""
-    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
-    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that `written` returned and that nothing reads any more."""
+    for df in tables:
+        files, at = _place(df.sparkSession, df.written_at)
+        files.delete(at, True)
+        files.cancelDeleteOnExit(at)
 
 
 def free(df: DataFrame, name: str) -> str:
@@ -51,5 +63,5 @@ BROADCAST_BYTES = 48 << 20
 
 
 def small(df: DataFrame, bytes_a_row: int = 32) -> DataFrame:
-    """df (a written table, so counting is cheap) with a broadcast hint if it is surely small, else as it is."""
+    """df (read from a written table, so counting is cheap) with a broadcast hint if it is surely small, else as it is."""
     return F.broadcast(df) if df.count() * bytes_a_row <= BROADCAST_BYTES else df

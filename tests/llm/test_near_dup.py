@@ -1,9 +1,10 @@
 import numpy as np
 import pyarrow as pa
+import pytest
 from conftest_llm import ODD
 
 from leafmill.llm import _text as tx
-from leafmill.llm import near_dup
+from leafmill.llm import _graph, near_dup
 from leafmill.llm._graph import components
 
 
@@ -135,7 +136,9 @@ def test_sketch_merges_and_estimates():
         assert np.std(out) < near_dup.MARGIN / 2.5
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(_graph, "FEW", few)
     rng = np.random.default_rng(2)
     edges = [(i, i + 1) for i in range(100, 140)] + [(int(a), int(b)) for a, b in rng.integers(0, 90, (60, 2))] + [(5, 5), (7, 7)]
     parent = {}
@@ -163,3 +166,45 @@ def test_hashes_do_not_depend_on_blocks(monkeypatch):
     for block in (64, 1000, 3999, 4000, 4001):
         monkeypatch.setattr(tx, "BLOCK", block)
         assert (tx.words(buf, np.array([0, 3000, 20000])).hash == whole.hash).all()
+
+
+@pytest.mark.parametrize("block", [near_dup.BLOCK, 16])
+def test_strangers_in_every_bucket_cost_no_pair(monkeypatch, make, prose, block):
+    """All bands fall into ten buckets, so each document meets every other one and the least id is a stranger to nearly all."""
+    sketch = near_dup._sketch
+
+    def coarse(batches):
+        for b in sketch(batches):
+            band = [[x % 10 for x in own] for own in b.column("bands").to_pylist()]
+            yield b.set_column(b.schema.get_field_index("bands"), "bands", pa.array([sorted(set(x)) for x in band], pa.list_(pa.int64())))
+
+    monkeypatch.setattr(near_dup, "_sketch", coarse)
+    monkeypatch.setattr(near_dup, "BLOCK", block)
+    rows = [(i, " ".join(prose(150, i))) for i in range(150)]
+    for g in range(30):
+        base = prose(200, 1000 + g)
+        rows += [(1000 + 10 * g + k, " ".join(edited(base, 0.003 * g, 100 * g + k))) for k in range(3)]
+    got = {r.doc_id: r.group_id for r in near_dup.near_duplicates(make(rows, clash=False)).collect()}
+    pairs = brute(rows)
+    ids, top = _graph.roots(*map(np.array, zip(*pairs)))
+    assert len(pairs) > 60 and got == dict(zip(ids.tolist(), top.tolist()))
+
+
+def test_signatures_turn_strangers_away_and_keep_the_like():
+    rng = np.random.default_rng(6)
+    kept = {0.0: 0, near_dup.THRESHOLD: 0}
+    for j in kept:
+        for _ in range(300):
+            n = 400
+            same = int(2 * n * j / (1 + j))
+            x = rng.integers(0, 2**48, 2 * n).astype(np.uint64)
+            k = [near_dup.registers(np.sort(s), np.array([0])) for s in (x[:n], np.concatenate([x[:same], x[n : 2 * n - same]]))]
+            a, b = (np.stack(near_dup.signatures(r), 1).view(np.uint64) for r in k)
+            kept[j] += int(near_dup.alike(a, b)[0, 0])
+    assert kept[0.0] <= 9 and kept[near_dup.THRESHOLD] >= 296
+
+
+def test_a_very_long_text_and_its_copy(make, prose):
+    base = prose(200_000, 1)
+    rows = [(1, " ".join(base)), (2, " ".join(edited(base, 0.05, 2))), (3, " ".join(prose(200_000, 3)))]
+    assert {tuple(r) for r in near_dup.near_duplicates(make(rows, clash=False)).collect()} == {(1, 1), (2, 1)}
