@@ -1,14 +1,17 @@
 """Operator 9: the marginal probability of a document under a subword unigram model.
 
-The pieces of an existing vocabulary, weighted by their scores, span a lattice over each
-word; the forward recursion in log space sums over all segmentations.  Words are cut at
-white space and start with the vocabulary's word mark, which no piece holds elsewhere, so a
-document's log probability is the sum of its words'.
-
-A merge-ordered vocabulary scores pieces by rank, which are weights but no probabilities.
-Expectation-maximisation turns them into log probabilities: it starts from 1 / rank and
-counts pieces, over all segmentations, in the words of the whole corpus.  The corpus is
-gathered into a table of distinct words with counts; iterations read only that table.
+The pieces of an existing vocabulary, weighted by the vocabulary's own scores, span a
+lattice over the whole text, white space included; the forward recursion in log space sums
+over all segmentations.  The text, with the vocabulary's word mark before it, is cut where
+no piece can cross: before a run of blanks, and on either side of white space that occurs
+in no longer piece.  A document's log probability is the sum of these units', and each
+distinct unit is scored once a task.
+
+A merge-ordered vocabulary scores pieces by rank, which are weights but no probabilities:
+a piece of rank r weighs 1 / r, normalised.  Beside it stands the probability under
+weights adapted to the corpus: expectation-maximisation starts from the vocabulary's and
+counts pieces, over all segmentations, in all documents.  The corpus is gathered into a
+table of distinct units with counts; iterations read only that table.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 ITERATIONS = 2
 #: Expected counts added to each piece, so that unseen ones stay possible.
 PRIOR = 0.1
-#: Words of a lattice pass, bytes of text of a chunk.
-WORDS, CHUNK = 1 << 15, 2 << 20
+#: Units and bytes of a lattice pass, bytes of text of a chunk.
+UNITS, BYTES, CHUNK = 1 << 15, 1 << 20, 2 << 20
 _FILTER = 20
-_INSIDE = np.ones(256, bool)
-_INSIDE[[9, 10, 11, 12, 13, 32]] = False
+#: White space that no piece holds beside other characters (tested when a vocabulary is loaded).
+_ALONE = np.zeros(256, bool)
+_ALONE[[9, 10, 11, 12]] = True
 
 
 class Vocabulary:
@@ -69,6 +73,8 @@ def vocabulary(path: str) -> Vocabulary:
         pieces.append(sp.id_to_piece(i).replace("▁", " ").encode() if plain else b"")
         if plain:
             weight[i] = 1 / (1 - sp.get_score(i)) if sp.get_score(i) <= 0 else 1.0
+        if any(len(pieces[i]) > 1 and b in pieces[i] for b in b"\t\n\v\f") or b" " in pieces[i].lstrip(b" "):
+            raise ValueError(f"piece {i} of {path} crosses the cuts before blanks or beside white space")
     total = weight[weight > 0].sum()
     return Vocabulary(pieces, bytes_, np.where(weight > 0, np.log(np.maximum(weight, 1e-300) / total), -np.inf))
 
@@ -163,28 +169,42 @@ def _add(total: np.ndarray, node: np.ndarray, x: np.ndarray) -> None:
         total[node[at]] = safe + np.log(np.add.reduceat(np.exp(x - np.repeat(safe, np.diff(np.append(at, len(node))))), at))
 
 
-def _spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, hash, document's first word) of the words cut at white space."""
-    start, end, first = tx.runs(_INSIDE[buf], off)
-    return start, end, tx.span_hash(buf, start, end), first
+def _units(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, start, end, hash, document's first unit) of the units; the bytes are those of the texts, a blank before each that isn't empty."""
+    n = np.diff(off)
+    mark = np.repeat(off[:-1], n > 0)
+    flat = np.insert(buf, mark, 32)
+    first = off + np.concatenate([[0], np.cumsum(n > 0)])
+    blank, alone = flat == 32, _ALONE[flat]
+    begin = np.ones(len(flat), bool)
+    begin[1:] = alone[1:] | alone[:-1] | (blank[1:] & ~blank[:-1])
+    begin[first[:-1][n > 0]] = True
+    start = np.flatnonzero(begin)
+    end = np.append(start[1:], len(flat))[: len(start)]
+    return flat, start, end, tx.span_hash(flat, start, end), np.searchsorted(start, first)
 
 
 def _packed(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The spans as one buffer, each after a blank, and their offsets."""
-    off = np.concatenate([[0], np.cumsum(end - start + 1)])
-    out = np.full(off[-1], 32, np.uint8)
-    text = np.ones(off[-1], bool)
-    text[off[:-1]] = False
+    """The spans as one buffer and their offsets."""
     n = end - start
-    out[text] = buf[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-    return out, off
+    off = np.concatenate([[0], np.cumsum(n)])
+    return buf[np.repeat(start - off[:-1], n) + np.arange(off[-1])], off
+
+
+def _slices(n: np.ndarray) -> Iterator[slice]:
+    """Runs of units of n bytes each, UNITS at most and about BYTES together."""
+    off, lo = np.concatenate([[0], np.cumsum(n)]), 0
+    while lo < len(n):
+        hi = min(lo + UNITS, max(lo + 1, int(np.searchsorted(off, off[lo] + BYTES, "right")) - 1))
+        yield slice(lo, hi)
+        lo = hi
 
 
 class _Seen:
-    """Distinct words of a task with a value each, sorted by hash."""
+    """Distinct units of a task with `width` values each, sorted by hash."""
 
-    def __init__(self):
-        self.hash, self.value = np.zeros(0, U64), np.zeros(0)
+    def __init__(self, width: int = 1):
+        self.hash, self.value = np.zeros(0, U64), np.zeros((0, width))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.searchsorted(self.hash, h)
@@ -194,7 +214,7 @@ class _Seen:
 
     def insert(self, h: np.ndarray, value: np.ndarray) -> None:
         at = np.searchsorted(self.hash, h)
-        self.hash, self.value = np.insert(self.hash, at, h), np.insert(self.value, at, value)
+        self.hash, self.value = np.insert(self.hash, at, h), np.insert(self.value, at, value, 0)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,21 +222,21 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> pa.RecordBatch:
         hashes, texts = np.concatenate([h for h, _ in held]), pa.concat_arrays([t for _, t in held])
-        return pa.RecordBatch.from_arrays([texts, pa.array(seen.value[np.searchsorted(seen.hash, hashes)].astype(np.int64))], ["word", "n"])
+        return pa.RecordBatch.from_arrays([texts, pa.array(seen.value[np.searchsorted(seen.hash, hashes), 0].astype(np.int64))], ["word", "n"])
 
     for batch in batches:
         for _, _, buf, off in tx.chunks(batch.column(0), CHUNK):
-            start, end, h, _ = _spans(buf, off)
+            buf, start, end, h, _ = _units(buf, off)
             if not len(h):
                 continue
             h, at, n = np.unique(h, return_index=True, return_counts=True)
             where, ok = seen.find(h)
-            seen.value[where[ok]] += n[ok]
+            seen.value[where[ok], 0] += n[ok]
             new = ~ok
             if new.any():
                 flat, cut = _packed(buf, start[at[new]], end[at[new]])
                 held.append((h[new], pa.Array.from_buffers(pa.binary(), int(new.sum()), [None, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])))
-                seen.insert(h[new], n[new])
+                seen.insert(h[new], n[new, None])
         if len(seen.hash) > 2_000_000:
             yield flush()
             seen, held = _Seen(), []
@@ -229,9 +249,10 @@ def _expectation(path: str, score: np.ndarray) -> Callable:
         voc, total = vocabulary(path), np.zeros(len(score))
         for batch in batches:
             count = batch.column(1).to_numpy().astype(float)
-            for at in range(0, len(batch), WORDS):
-                buf, off = tx.utf8(batch.column(0).slice(at, WORDS))
-                total += Lattice(voc, buf, off).expected(score, count[at : at + WORDS])
+            buf, off = tx.utf8(batch.column(0))
+            for own in _slices(np.diff(off)):
+                cut = off[own.start : own.stop + 1]
+                total += Lattice(voc, buf[cut[0] : cut[-1]], cut - cut[0]).expected(score, count[own])
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["part", "total"])
 
     return run
@@ -243,7 +264,7 @@ def _sum(part: pa.Table) -> pa.Table:
 
 
 def word_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n): every distinct word of the corpus, after a blank, and how often it occurs."""
+    """(word, n): every distinct unit of the corpus, most of them words after a blank, and how often it occurs."""
     return docs.select(F.col(f"`{text_col}`")).mapInArrow(_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -260,41 +281,43 @@ def trained(words: DataFrame, path: str = VOCABULARY, iterations: int = ITERATIO
     return score
 
 
-def _scores(path: str, score: np.ndarray) -> Callable:
+def _scores(path: str, scores: list[np.ndarray]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, seen = vocabulary(path), _Seen()
+        voc, seen = vocabulary(path), _Seen(len(scores))
         for batch in batches:
-            for i, j, buf, off in tx.chunks(batch.column(1), CHUNK):
-                start, end, h, first = _spans(buf, off)
+            for i, j, text, off in tx.chunks(batch.column(1), CHUNK):
+                buf, start, end, h, first = _units(text, off)
                 one, at, back = np.unique(h, return_index=True, return_inverse=True)
                 _, ok = seen.find(one)
                 new = np.flatnonzero(~ok)
-                for lo in range(0, len(new), WORDS):
-                    own = new[lo : lo + WORDS]
-                    flat, cut = _packed(buf, start[at[own]], end[at[own]])
-                    seen.insert(one[own], Lattice(voc, flat, cut).probability(score))
-                value = seen.value[np.searchsorted(seen.hash, one)][back] if len(one) else np.zeros(0)
-                n = np.diff(first)
-                total = np.bincount(np.repeat(np.arange(j - i), n), value, j - i)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(total), pa.array(n.astype(np.int64)), pa.array(np.diff(off))], ["doc_id", "log_prob", "n_words", "n_bytes"])
-            if len(seen.hash) > 4_000_000:
-                seen = _Seen()
+                for part in _slices((end - start)[at[new]]):
+                    own = new[part]
+                    lattice = Lattice(voc, *_packed(buf, start[at[own]], end[at[own]]))
+                    seen.insert(one[own], np.stack([lattice.probability(x) for x in scores], 1))
+                value = seen.value[np.searchsorted(seen.hash, one)][back]
+                doc = np.repeat(np.arange(j - i), np.diff(first))
+                total = [pa.array(np.bincount(doc, x, j - i)) for x in value.T]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(off)), *total], ["doc_id", "n_bytes", *(f"p{k}" for k in range(len(total)))])
+            if len(seen.hash) > 3_000_000:
+                seen = _Seen(len(scores))
 
     return run
 
 
-def scored(docs: DataFrame, score: np.ndarray, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, log_prob, n_words, n_bytes, bits_per_byte) under given piece scores.
+def scored(docs: DataFrame, scores: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_bytes) and for each name of piece scores (name + log_prob, name + bits_per_byte).
 
-    Every row gives a row, whatever its id.  A text without a word (null, empty, white
-    space) has log probability 0 and null bits per byte.  A word is scored whole however
+    Every row gives a row, whatever its id.  Null and empty texts have log probability 0 and
+    null bits per byte.  All bytes of a text are scored, white space too, and a word however
     long it is.  Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    got = docs.mapInArrow(_scores(path, score), "doc_id bigint, log_prob double, n_words bigint, n_bytes bigint")
-    return got.withColumn("bits_per_byte", F.when(F.col("n_words") > 0, -F.col("log_prob") / F.lit(float(np.log(2))) / F.col("n_bytes")))
+    got = docs.mapInArrow(_scores(path, list(scores.values())), "doc_id bigint, n_bytes bigint, " + ", ".join(f"p{k} double" for k in range(len(scores))))
+    bits = lambda k: F.when(F.col("n_bytes") > 0, -F.col(f"p{k}") / F.lit(float(np.log(2))) / F.col("n_bytes"))
+    return got.select("doc_id", "n_bytes", *(c for k, x in enumerate(scores) for c in (F.col(f"p{k}").alias(x + "log_prob"), bits(k).alias(x + "bits_per_byte"))))
 
 
 def language_model(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = VOCABULARY, iterations: int = ITERATIONS) -> DataFrame:
-    """`scored` under the piece probabilities trained on docs themselves."""
-    return scored(docs, trained(written(word_table(docs, text_col)), path, iterations), id_col, text_col, path)
+    """`scored` under the vocabulary's own scores (log_prob, bits_per_byte) and those adapted to docs (corpus_log_prob, corpus_bits_per_byte)."""
+    adapted = trained(written(word_table(docs, text_col)), path, iterations)
+    return scored(docs, {"": vocabulary(path).initial, "corpus_": adapted}, id_col, text_col, path)
