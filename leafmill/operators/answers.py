@@ -56,8 +56,8 @@ def reconcile_summary(have: DataFrame, want: DataFrame, key: str) -> DataFrame:
 
 
 def group_by_folder(files: DataFrame, path_col: str = "full_path") -> DataFrame:
-    """(root_folder_path, pdf_paths): sorted paths of each folder."""
-    return files.groupBy(text.dirname(F.col(path_col)).alias("root_folder_path")).agg(F.array_sort(F.collect_set(path_col)).alias("pdf_paths"))
+    """(root_folder_path, pdf_paths): sorted paths of each folder, by folder."""
+    return files.groupBy(text.dirname(F.col(path_col)).alias("root_folder_path")).agg(F.array_sort(F.collect_set(path_col)).alias("pdf_paths")).orderBy("root_folder_path")
 
 
 def with_tree_paths(files: DataFrame, trees: DataFrame, path_col: str = "full_path") -> DataFrame:

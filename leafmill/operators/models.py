@@ -79,32 +79,40 @@ def backend(name: str) -> Callable[[], Backend]:
 _ARROW = {"string": pa.string(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 
 
-def _mapped(df: DataFrame, columns: list[str], out: str, kind: str, call: Callable[[Backend, tuple], object], make: Callable[[], Backend]) -> DataFrame:
-    """df with the model's output for some columns; rows of equal inputs meet in one partition, next to each other, and share a call."""
-    key = F.xxhash64(*(F.col(c) for c in columns))
-    rows = df.withColumn("_key", key).repartition("_key").sortWithinPartitions("_key").select(*df.columns)
+def _mapped(df: DataFrame, columns: list[str], when: Column, out: str, kind: str, call: Callable[[Backend, tuple], object], make: Callable[[], Backend]) -> DataFrame:
+    """df with the model's output for some columns, null where `when` doesn't hold.
+
+    Distinct inputs are found by an aggregation, which combines repeated ones before they
+    are shuffled, and go through the model once each.  Their outputs come back by a join on
+    two 64-bit hashes of the input, so the inputs themselves move once, and rows that
+    aren't asked spread by all their columns.
+    """
+    parts = [F.coalesce(F.to_json(F.col(c)) if isinstance(df.schema[c].dataType, T.ArrayType) else F.col(c), F.lit("\0")) for c in columns]
+    keyed = df.withColumn("_when", F.coalesce(when, F.lit(False)))
+    simple = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.NumericType, T.BooleanType))]
+    keyed = keyed.withColumn("_key", F.when(F.col("_when"), F.xxhash64(*parts)).otherwise(F.xxhash64(F.lit(0), *simple))).withColumn("_check", F.when(F.col("_when"), F.xxhash64(F.lit(1), *parts)))
+    kind_of = T.StructType.fromDDL(f"x {kind}")[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last, value = make(), None, None
+        own = make()
         for batch in batches:
-            got = []
-            for row in zip(*(batch.column(c).to_pylist() for c in columns)):
-                if row != last:
-                    last, value = row, call(own, row)
-                got.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, _ARROW[kind])], [*batch.schema.names, out])
+            got = [call(own, row) for row in zip(*(batch.column(c).to_pylist() for c in columns))]
+            yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_check"), pa.array(got, _ARROW[kind])], ["_key", "_check", out])
 
-    return rows.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StructType.fromDDL(f"x {kind}")[0].dataType)]))
+    inputs = keyed.where("_when").select("_key", "_check", *columns).distinct()
+    given = inputs.mapInArrow(run, T.StructType([T.StructField("_key", T.LongType()), T.StructField("_check", T.LongType()), T.StructField(out, kind_of)]))
+    return keyed.join(given, ["_key", "_check"], "left").select(*(F.col(f"`{c}`") for c in df.columns), out)
 
 
 def ask(df: DataFrame, question: str = "question", context: str = "context", out: str = "llm_answer", model: str = "containment") -> DataFrame:
     """df with the model's answer; blank contexts aren't sent and answer null."""
-    return _mapped(df, [question, context], out, "string", lambda m, r: m.answer(r[0] or "", r[1]) if r[1] and r[1].strip() else None, backend(model))
+    return _mapped(df, [question, context], ~text.is_blank(F.col(context)), out, "string", lambda m, r: m.answer(r[0] or "", r[1]) if r[1].strip() else None, backend(model))
 
 
 def judged(df: DataFrame, a: str, b: str, out: str = "is_equivalent", model: str = "containment") -> DataFrame:
     """df with whether the model takes two answers as equivalent; nulls aren't."""
-    return _mapped(df, [a, b], out, "boolean", lambda m, r: r[0] is not None and r[1] is not None and bool(m.equivalent(r[0], r[1])), backend(model))
+    both = F.col(a).isNotNull() & F.col(b).isNotNull()
+    return _mapped(df, [a, b], both, out, "boolean", lambda m, r: bool(m.equivalent(*r)), backend(model)).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def supported(df: DataFrame, question: str, answer: str, context: str, out: str = "node_summary", model: str = "containment") -> DataFrame:
@@ -117,11 +125,11 @@ def supported(df: DataFrame, question: str, answer: str, context: str, out: str
             return []
 
     split = df.withColumn("_sentences", text.sentences(F.col(context)))
-    found = _mapped(split, [question, answer, "_sentences"], "_ids", "array<int>", call, backend(model))
+    found = _mapped(split, [question, answer, "_sentences"], F.size("_sentences") > 0, "_ids", "array<int>", call, backend(model))
     return found.withColumn(out, chosen(F.col("_sentences"), F.col("_ids"))).drop("_sentences", "_ids")
 
 
 def chosen(sentences: Column, ids: Column) -> Column:
     """The sentences of the given numbers (from 1), each once, in order, joined by blanks."""
-    keep = F.array_sort(F.array_distinct(F.filter(ids, lambda i: (i >= 1) & (i <= F.size(sentences)))))
+    keep = F.array_sort(F.array_distinct(F.filter(F.coalesce(ids, F.array().cast("array<int>")), lambda i: (i >= 1) & (i <= F.size(sentences)))))
     return F.coalesce(F.array_join(F.transform(keep, lambda i: F.element_at(sentences, i)), " "), F.lit(""))

@@ -25,7 +25,7 @@ def explode_nodes(trees: DataFrame) -> DataFrame:
         "doc_id", "array_idx", "array_type", "array_pos", "node.self_ref", text.last_number(F.col("node.self_ref")).alias("id_num"), "node.label", "node.text", "node.marker", "node.enumerated", "node.level", "node.key", "node.value",
         prov["page_no"].alias("page_no"), box["l"].alias("l"), box["t"].alias("t"), box["r"].alias("r"), box["b"].alias("b"),
         F.coalesce(prov["page_no"], F.lit(0)).alias("sort_page"), (-F.coalesce(box["t"], F.lit(0.0))).alias("sort_y"), F.coalesce(box["l"], F.lit(0.0)).alias("sort_x"),
-        F.col("node.parent")["$ref"].alias("parent_ref"), F.transform("node.children", lambda c: c["$ref"]).alias("orig_children"), F.col("node.data").alias("data"),
+        F.col("node.parent")["$ref"].alias("parent_ref"), F.transform("node.children", lambda c: c["$ref"]).alias("orig_children"), F.col("node.data").alias("data"), "node",
     )
 
 

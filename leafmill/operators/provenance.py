@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text
 from leafmill.operators import models, nodes
+from leafmill.store import written
 
 
 def search(pairs: DataFrame, sections: DataFrame, model: str = "containment") -> DataFrame:
@@ -17,8 +23,10 @@ def search(pairs: DataFrame, sections: DataFrame, model: str = "containment") ->
     judgement.
     """
     asked = models.ask(pairs.where("answer IS NOT NULL").join(sections, "doc_id"), "question", "complete_text", "llm_answer", model)
-    replied = asked.where(~text.is_blank(F.col("llm_answer")))
-    return models.judged(replied, "answer", "llm_answer", model=model).where("is_equivalent").drop("is_equivalent")
+    # the section's text comes back for the hits alone
+    replied = asked.where(~text.is_blank(F.col("llm_answer"))).drop("complete_text")
+    hits = models.judged(replied, "answer", "llm_answer", model=model).where("is_equivalent").drop("is_equivalent")
+    return hits.join(sections.select("doc_id", "self_ref", "complete_text"), ["doc_id", "self_ref"])
 
 
 def provenance(attached: DataFrame, pairs: DataFrame, raw_texts: DataFrame, tables: DataFrame | None = None, model: str = "containment") -> DataFrame:
@@ -26,7 +34,7 @@ def provenance(attached: DataFrame, pairs: DataFrame, raw_texts: DataFrame, tabl
 
     raw_texts has (doc_id, raw_text); pairs without an answer get an empty list.
     """
-    sections = nodes.section_texts(attached, tables)
+    pairs, sections = written(pairs), written(nodes.section_texts(attached, tables))
     info = nodes.positions(attached)
     found = models.supported(search(pairs, sections.drop("page_no"), model), "question", "llm_answer", "complete_text", model=model)
     hits = found.join(info, ["doc_id", "self_ref"])
@@ -58,9 +66,58 @@ def document_questions(documents: DataFrame, questions: DataFrame) -> DataFrame:
     return documents.crossJoin(questions)
 
 
+#: Characters of passages up to which every task holds all of them in one automaton (some 50 bytes a character).
+HELD = 2 << 20
+
+
+@functools.lru_cache(1)
+def _automaton(passages: tuple[str, ...]) -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for i, p in enumerate(passages):
+        a.add_word(p, i)
+    a.make_automaton()
+    return a
+
+
+def _holding(passages: tuple[str, ...]) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _automaton(passages)
+        for batch in batches:
+            row, place = [], []
+            for k, s in enumerate(batch.column("text").to_pylist()):
+                found = sorted({i for _, i in own.iter(s)}) if s else ()
+                row += [k] * len(found)
+                place += found
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(place, pa.int64())], ["doc_id", "_place"])
+
+    return run
+
+
 def containing(documents: DataFrame, passages: DataFrame) -> DataFrame:
     """(doc_id, item_id, passage) where a document (doc_id, text) holds a passage (item_id, passage) to the letter.
 
+    Up to HELD characters of passages go to every task, which looks for all of them in one
+    walk over each text; nothing is shuffled.  More are found by `_containing_many`.
+    """
+    passages = passages.select("item_id", "passage").where("passage IS NOT NULL")
+    size = passages.agg(F.coalesce(F.sum(F.length("passage") + 8), F.lit(0))).first()[0]
+    if size > HELD:
+        return _containing_many(documents, passages)
+    held = [(r.item_id, r.passage) for r in passages.collect()]
+    texts = tuple(sorted({p for _, p in held if p}))
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    found = documents.select("doc_id", "text").mapInArrow(_holding(texts), f"doc_id {kind}, _place bigint")
+    at = {p: i for i, p in enumerate(texts)}
+    spark, item = documents.sparkSession, passages.schema["item_id"].dataType.simpleString()
+    names = spark.createDataFrame([(at.get(p, -1), i, p) for i, p in held], f"_place bigint, item_id {item}, passage string")
+    empty = documents.where("text IS NOT NULL").select("doc_id", F.lit(-1).cast("bigint").alias("_place")) if any(not p for _, p in held) else None
+    found = found.unionByName(empty) if empty is not None else found
+    return found.join(F.broadcast(names), "_place").select("doc_id", "item_id", "passage")  # HELD bounds it
+
+
+def _containing_many(documents: DataFrame, passages: DataFrame) -> DataFrame:
+    """`containing` by a join.
+
     A document that holds a passage has each of its inner words between blanks, so the
     pairs come from a hash join on the passage's longest inner word, and only those are
     compared; passages of fewer than three words are compared with every document.

@@ -93,3 +93,21 @@ def known_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
     held = provenance.containing(table(spark, sf_dir, "documents"), items)
     return held.select("doc_id", "item_id", F.col("passage").alias("question"), F.col("passage").alias("answer"))
+
+
+def asked_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`known_answers`, and for every document one question without a known answer (item -1)."""
+    open_ = table(spark, sf_dir, "documents").select("doc_id", F.lit(-1).cast("bigint").alias("item_id"), F.lit("Who wrote it?").alias("question"), F.lit(None).cast("string").alias("answer"))
+    known = known_answers(spark, sf_dir)
+    return known.withColumn("item_id", F.col("item_id").cast("bigint")).unionByName(open_)
+
+
+def turn_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as document trees of the declared schema, a text node a turn, the user's as headers."""
+    t = table(spark, sf_dir, "conversations")
+    ref = lambda x: F.struct(x.alias("$ref"))
+    box = F.struct(F.lit(0.0).alias("l"), (1000.0 - F.col("turn")).alias("t"), F.lit(1.0).alias("r"), F.lit(0.0).alias("b"), F.lit("BOTTOMLEFT").alias("coord_origin"))
+    prov = F.array(F.struct((F.floor(F.col("turn") / 4) + 1).cast("int").alias("page_no"), box.alias("bbox"), F.array(F.lit(0), F.length("text")).alias("charspan")))
+    node = F.struct(F.concat(F.lit("#/texts/"), F.col("turn").cast("string")).alias("self_ref"), ref(F.lit("#/body")).alias("parent"), F.array().cast("array<struct<`$ref`:string>>").alias("children"), F.when(F.col("role") == "user", nodes.HEADER).otherwise("text").alias("label"), prov.alias("prov"), F.col("text").alias("orig"), "text", F.lit(1).alias("level"), F.col("role").alias("marker"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("turn", node.alias("node")))), lambda x: x["node"])
+    return t.groupBy(F.col("conv_id").cast("string").alias("doc_id")).agg(texts.alias("texts")).withColumn("schema_name", F.lit("turns"))

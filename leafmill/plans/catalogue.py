@@ -12,6 +12,7 @@ from leafmill.functions import text
 from leafmill.operators import answers, layout, models, nodes, provenance, tables
 from leafmill.plans import adapters as ad
 from leafmill.sources import files, sinks
+from leafmill.store import place
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -105,9 +106,10 @@ def true_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(nodes.unattached(ad.conversation_nodes(spark, sf_dir)).select("doc_id", "self_ref", "ord"))
 
 
-@query("SELECT conv_id AS doc_id, '#/texts/' || turn AS self_ref FROM conversations WHERE false")
+@query("SELECT conv_id AS doc_id, '#/texts/' || turn AS self_ref FROM conversations WHERE turn % 3 = 1 AND role IS DISTINCT FROM 'user'")
 def parentless_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nodes.orphans(ad.conversation_nodes(spark, sf_dir)).select("doc_id", "self_ref")
+    n = ad.conversation_nodes(spark, sf_dir).withColumn("parent_ref", F.when(F.col("array_pos") % 3 != 1, F.col("parent_ref")))
+    return nodes.orphans(n).select("doc_id", "self_ref")
 
 
 HEADERS = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY {}) - 1 AS rank, self_ref, text, count(*) OVER (PARTITION BY doc_id) AS total FROM nodes WHERE header"
@@ -215,9 +217,9 @@ def table_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH w AS (SELECT DISTINCT unnest(string_split(text, ' ')) AS word FROM documents)
 SELECT word, (contains(lower(word), 'b') OR contains(lower(word), 'heavy'))::BIGINT AS bold, (regexp_matches(word, '^\p{L}+$') AND upper(word) = word AND lower(word) <> word)::BIGINT AS all_cap,
 regexp_matches(word, '^\p{Nd}')::BIGINT AS num_st, (abs((length(word) + length(word) * 2) / 2.0 - 20.0) <= 4.0)::BIGINT AS is_center, 0::BIGINT AS is_underline,
-(trim(word) <> '')::BIGINT AS valid FROM w WHERE regexp_matches(word, '^[\p{L}\p{Nd}\p{P}]*$')""")
+regexp_matches(regexp_replace(word, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{200B}-\x{200D}\x{FEFF}]', '', 'g'), '[^\p{C}\p{Z}\s]')::BIGINT AS valid FROM w""")
 def visual_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = ad.table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct().where(F.col("word").rlike(r"^[\p{L}\p{Nd}\p{P}]*$"))
+    w = ad.table(spark, sf_dir, "documents").select(F.explode(F.split("text", " ")).alias("word")).distinct()
     n = F.length("word")
     return _long(w.select(
         "word", look.is_bold(F.col("word")).alias("bold"), look.is_all_caps(F.col("word")).alias("all_cap"), look.starts_with_number(F.col("word")).alias("num_st"), look.is_centred(n.cast("double"), n * 2.0, F.lit(40.0)).alias("is_center"),
@@ -304,12 +306,12 @@ def answer_found_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.answered(_document_answers(spark, sf_dir))
 
 
-RECONCILED = """WITH a AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en'), b AS (SELECT DISTINCT doc_id FROM labels), s AS (
+RECONCILED = """WITH a AS (SELECT DISTINCT page_id AS doc_id FROM pages), b AS (SELECT DISTINCT doc_id FROM labels), s AS (
     SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'missing' WHEN b.doc_id IS NULL THEN 'unmatched' ELSE 'matched' END AS status FROM a FULL JOIN b ON a.doc_id = b.doc_id)"""
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return ad.table(spark, sf_dir, "documents").where("lang = 'en'"), ad.table(spark, sf_dir, "labels")
+    return ad.table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), ad.table(spark, sf_dir, "labels")
 
 
 @query(f"{RECONCILED} SELECT doc_id FROM s WHERE status = 'matched'")
@@ -327,7 +329,7 @@ def reconcile_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.reconcile(*_sides(spark, sf_dir), "doc_id").where("status = 'missing'").select("doc_id")
 
 
-@query(f"""{RECONCILED} SELECT (SELECT count(*) FROM documents WHERE lang = 'en') AS total_have, (SELECT count(*) FROM labels) AS total_want,
+@query(f"""{RECONCILED} SELECT (SELECT count(*) FROM pages) AS total_have, (SELECT count(*) FROM labels) AS total_want,
 count(*) FILTER (status = 'matched') AS matched, count(*) FILTER (status = 'unmatched') AS unmatched, count(*) FILTER (status = 'missing') AS missing FROM s""")
 def reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.reconcile_summary(*_sides(spark, sf_dir), "doc_id")
@@ -360,10 +362,81 @@ def tree_path_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answers.with_tree_paths(p, there).select("doc_id", "tree_path")
 
 
-@query("SELECT regexp_extract(url, '[^/]+$') AS filename, url AS full_path, octet_length(encode(html))::BIGINT AS size FROM pages WHERE regexp_matches(url, '[0-9]$') ")
+@query("SELECT coalesce(source, '?') AS folder, sum(octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size FROM documents GROUP BY ALL")
 def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = ad.table(spark, sf_dir, "pages").where(F.col("url").rlike("[0-9]$"))
-    return p.select(text.basename(F.col("url")).alias("filename"), F.col("url").alias("full_path"), F.octet_length("html").cast("bigint").alias("size"))
+    """The documents as text files in a folder a source, and the inventory of these."""
+    at = place(spark)
+    d = ad.table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("?")).alias("folder"), F.coalesce("text", F.lit("")).alias("value"))
+    d.write.partitionBy("folder").text(at)
+    found = files.inventory(spark, at, r"\.txt$")
+    folder = F.replace(F.regexp_extract("full_path", "folder=([^/]*)", 1), F.lit("%3F"), F.lit("?"))
+    return found.groupBy(folder.alias("folder")).agg(F.sum("size").alias("size"))
+
+
+# Written and read back
+
+
+@query(f"""WITH {TURNS} SELECT doc_id::VARCHAR AS doc_id, self_ref, ord, label, coalesce(section_ref, '#/body') AS parent, (SELECT count(*) FROM attached k WHERE k.doc_id = a.doc_id AND k.section_ref = a.self_ref) AS n_children,
+text, CASE WHEN label = 'text' THEN 'assistant' ELSE 'user' END = (SELECT min(role) FROM conversations c WHERE c.conv_id = a.doc_id AND c.turn = a.turn) AS own_marker, length(text)::BIGINT AS span, page_no FROM attached a""")
+def tree_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees written with sections attached, read again and exploded: every field is there."""
+    at = place(spark)
+    source = ad.turn_trees(spark, sf_dir)
+    source.write.json(f"{at}/given")
+    trees = files.read_trees(spark, f"{at}/given", lines=True)
+    sinks.write_trees(nodes.with_children(nodes.attach_sections(nodes.explode_nodes(trees))), trees, f"{at}/made")
+    n = nodes.reading_order(nodes.explode_nodes(files.read_trees(spark, f"{at}/made", lines=True)))
+    expected = F.when(F.col("label") == "text", "assistant").otherwise("user")
+    return _long(n.select("doc_id", "self_ref", "ord", "label", F.col("parent_ref").alias("parent"), F.size("orig_children").alias("n_children"), "text", (expected == F.col("marker")).alias("own_marker"), F.element_at(F.col("node.prov")[0]["charspan"], 2).alias("span"), "page_no"))
+
+
+@query("SELECT item_id::VARCHAR AS name, text || chr(10) AS text FROM benchmark WHERE text IS NOT NULL")
+def text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written to a folder a file, and read as whole files."""
+    at = place(spark)
+    sinks.write_texts(ad.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("/corpus/data/"), F.col("item_id").cast("string"), F.lit(".pdf")).alias("path"), "text"), at)
+    return files.read_texts(spark, f"{at}/*").select(F.regexp_extract("path", "stem=([^/]*)/", 1).alias("name"), "text")
+
+
+@query(f"WITH {UNPIVOT} SELECT filename::VARCHAR AS filename, category, answer, provenance FROM answers")
+def wide_answers_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide answer table as a CSV file, read and unpivoted."""
+    at = place(spark)
+    ad.wide_labels(spark, sf_dir).write.option("header", True).option("escape", '"').csv(at)
+    return answers.unpivot_answers(files.read_answers(spark, at)).select("filename", "category", "answer", "provenance")
+
+
+@query("SELECT item_id || '_answers' AS document, item_id || '.pdf' AS filename, 'length' AS category, length(text)::VARCHAR AS answer FROM benchmark")
+def document_answer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in a folder a document, read back."""
+    at = place(spark)
+    b = ad.table(spark, sf_dir, "benchmark").select(F.concat(F.col("item_id").cast("string"), F.lit(".pdf")).alias("filename"), F.lit("length").alias("category"), F.length("text").cast("string").alias("answer"))
+    sinks.write_document_answers(b, at)
+    return spark.read.schema("filename string, category string, answer string, document string").json(at).select("document", "filename", "category", "answer")
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, n_nationkey::BIGINT AS id, n_name AS phrase, [n_nationkey / 2.0, 0.0, 1.0, 2.0][1]::DOUBLE AS x0, (n_nationkey % 2)::BIGINT AS bold FROM nation")
+def phrase_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases in a folder a document, read back."""
+    at = place(spark)
+    n = ad.table(spark, sf_dir, "nation")
+    box = F.array(F.col("n_nationkey") / 2.0, F.lit(0.0), F.lit(1.0), F.lit(2.0)).cast("array<double>")
+    sinks.write_phrases(n.select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").cast("int").alias("id"), F.col("n_name").alias("phrase"), box.alias("bbox"), (F.col("n_nationkey") % 2).cast("int").alias("bold")), at)
+    back = spark.read.schema("doc_id bigint, id int, phrase string, bbox array<double>, bold int").json(at)
+    return _long(back.select("doc_id", "id", "phrase", F.col("bbox")[0].alias("x0"), "bold"))
+
+
+@query("""SELECT '/corpus/' || item_id AS doc_path, 'Cat/' || item_id % 3 AS question_category, 'Cat_' || item_id % 3 AS category, 'f/' || item_id % 5 AS folder, text AS true_answer, '#/texts/' || item_id AS node_id, item_id::BIGINT AS page_no FROM benchmark""")
+def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by folder and category, read back from all of them."""
+    at = place(spark)
+    item = F.col("item_id").cast("string")
+    node = F.struct(F.concat(F.lit("#/texts/"), item).alias("node_id"), F.col("item_id").cast("int").alias("page_no"))
+    made = ad.table(spark, sf_dir, "benchmark").select(F.concat(F.lit("/corpus/"), item).alias("doc_path"), F.concat(F.lit("Cat/"), (F.col("item_id") % 3).cast("string")).alias("question_category"), F.col("text").alias("true_answer"), F.concat(F.lit("f/"), (F.col("item_id") % 5).cast("string")).alias("at"), F.array(node).alias("provenance_nodes"))
+    sinks.write_results(made, at, folder_col="at")
+    back = files.read_results(spark, at).withColumn("p", F.col("_metadata.file_path"))
+    part = lambda name: F.url_decode(F.url_decode(F.regexp_extract("p", f"{name}=([^/]*)/", 1)))
+    return _long(provenance.flat(back.select("doc_path", "question_category", part("category").alias("category"), part("folder").alias("folder"), "true_answer", "provenance_nodes")).select("doc_path", "question_category", "category", "folder", "true_answer", "node_id", "page_no"))
 
 
 @query("SELECT count(*) FILTER (event_type = 'purchase') AS success, count(*) FILTER (event_type = 'click') AS partial, count(*) FILTER (event_type NOT IN ('purchase', 'click')) AS failure FROM events")
@@ -372,10 +445,10 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.conversion_counts(ad.table(spark, sf_dir, "events").select(status.alias("status")))
 
 
-@query("""SELECT item_id, item_id::BIGINT AS id, 'Cat ' || item_id % 7 AS category, trim(replace(text, chr(10), ' ')) AS description, 'Yes/No' AS answer_format, CASE WHEN item_id % 2 = 0 THEN (item_id % 5)::VARCHAR ELSE '-' END AS "group"
-FROM benchmark WHERE NOT contains(text, 'Description:')""")
+@query("""SELECT item_id, item_id::BIGINT AS id, 'Cat ' || item_id % 7 AS category, trim(split_part(replace(text, chr(10), ' '), 'Description:', 1)) AS description, 'Yes/No' AS answer_format, CASE WHEN item_id % 2 = 0 THEN (item_id % 5)::VARCHAR ELSE '-' END AS "group"
+FROM benchmark""")
 def question_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = ad.table(spark, sf_dir, "benchmark").where(~F.contains("text", F.lit("Description:")))
+    b = ad.table(spark, sf_dir, "benchmark")
     s = lambda x: F.lit(x)
     item = F.col("item_id")
     block = F.concat(item.cast("string"), s("\n\nCategory: Cat "), (item % 7).cast("string"), s("\nDescription: "), F.replace("text", s("\n"), s(" ")), s("\nnothing\nAnswer Format: Yes/No\nGroup: "), F.when(item % 2 == 0, (item % 5).cast("string")).otherwise("-"))
@@ -434,7 +507,7 @@ def provenance_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = ad.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw_text"))
-    return provenance.provenance(ad.document_nodes(spark, sf_dir), ad.known_answers(spark, sf_dir), raw)
+    return provenance.provenance(ad.document_nodes(spark, sf_dir), ad.asked_pairs(spark, sf_dir), raw)
 
 
 RESULT = f"""WITH {PAIRS}, n AS (SELECT *, 'From ' || source || ' ' || text AS node_text FROM pairs), s AS (
@@ -448,6 +521,6 @@ def provenance_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(provenance.flat(_provenance(spark, sf_dir)).drop("question", "answer"))
 
 
-@query(f"WITH {PAIRS} SELECT doc_id, item_id, 1::BIGINT AS n_nodes FROM pairs")
+@query(f"WITH {PAIRS} SELECT doc_id, item_id, 1::BIGINT AS n_nodes FROM pairs UNION ALL SELECT doc_id, -1, 0 FROM documents")
 def provenance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(provenance.node_counts(_provenance(spark, sf_dir)).select("doc_id", "item_id", "n_nodes"))

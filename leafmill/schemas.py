@@ -11,16 +11,19 @@ _CELL = (
     f"struct<bbox:{_BBOX},row_span:int,col_span:int,start_row_offset_idx:int,end_row_offset_idx:int,"
     "start_col_offset_idx:int,end_col_offset_idx:int,text:string,column_header:boolean,row_header:boolean,row_section:boolean>"
 )
+_REFS = ",".join(f"{x}:array<{_REF}>" for x in ("captions", "references", "footnotes"))
 _NODE = (
     f"struct<self_ref:string,parent:{_REF},children:array<{_REF}>,content_layer:string,label:string,"
     f"prov:array<struct<page_no:int,bbox:{_BBOX},charspan:array<int>>>,orig:string,text:string,level:int,enumerated:boolean,"
-    f"marker:string,name:string,key:string,value:string,data:struct<table_cells:array<{_CELL}>,num_rows:int,num_cols:int>>"
+    f"marker:string,name:string,key:string,value:string,data:struct<table_cells:array<{_CELL}>,num_rows:int,num_cols:int,grid:array<array<{_CELL}>>>,"
+    f"{_REFS},annotations:array<map<string,string>>>"
 )
 
 
 DOCUMENT = (
     "schema_name string, version string, name string, origin struct<mimetype:string,binary_hash:decimal(20,0),filename:string>,"
-    f"body struct<self_ref:string,children:array<{_REF}>,content_layer:string,name:string,label:string>,"
+    + ",".join(f"{x} struct<self_ref:string,children:array<{_REF}>,content_layer:string,name:string,label:string>" for x in ("furniture", "body"))
+    + ","
     + ",".join(f"{a} array<{_NODE}>" for a in ARRAYS)
     + ", pages map<string,struct<size:struct<width:double,height:double>,page_no:int>>, _corrupt string"
 )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,10 +13,14 @@ from leafmill import schemas
 from leafmill.functions import layout, text
 
 
-def read_trees(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row a document tree with its path as doc_id; a file that can't be parsed has no nodes."""
-    df = spark.read.schema(schemas.DOCUMENT).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
-    return df.withColumn("doc_id", F.col("_metadata.file_path")).drop("_corrupt")
+def read_trees(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """One row a document tree with its path as doc_id; a file that can't be parsed has no nodes.
+
+    With lines, a tree a line as `sinks.write_trees` leaves them, each with its own doc_id.
+    """
+    schema = schemas.DOCUMENT + (", doc_id string" if lines else "")
+    df = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    return (df if lines else df.withColumn("doc_id", F.col("_metadata.file_path"))).drop("_corrupt")
 
 
 def read_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -38,6 +43,22 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("nullValue", "\x00").option("emptyValue", "").csv(path)
 
 
+def first_object(spark: SparkSession, path: str, limit: int = 300) -> str:
+    """The first object of a JSON file (of its array, or itself), strings cut to `limit` characters and dots; empty for an empty array."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("value"))
+    first = F.coalesce(F.get_json_object("value", "$[0]"), F.when(~F.ltrim("value").startswith("["), F.col("value")))
+    text_ = whole.select(first.alias("x")).first()[0]
+    return json.dumps(_cut(json.loads(text_), limit), ensure_ascii=False, indent=2) if text_ else ""
+
+
+def _cut(x: object, limit: int) -> object:
+    if isinstance(x, dict):
+        return {k: _cut(v, limit) for k, v in x.items()}
+    if isinstance(x, list):
+        return [_cut(v, limit) for v in x]
+    return x[:limit] + "..." if isinstance(x, str) and len(x) > limit else x
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Provenance results written before, from all folders below path."""
     return spark.read.schema(schemas.RESULT).option("recursiveFileLookup", True).json(path)
@@ -77,17 +98,21 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, folder: str, pattern: str = r"(?i)\.pdf$") -> DataFrame:
-    """(filename, full_path, size) of the files below folder whose path matches; contents aren't read."""
+    """(filename, full_path, size) of the files below folder whose path matches, by name and path; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "length")
-    return files.where(F.col("path").rlike(pattern)).select(text.basename(F.col("path")).alias("filename"), F.col("path").alias("full_path"), F.col("length").alias("size")).distinct()
+    return files.where(F.col("path").rlike(pattern)).select(text.basename(F.col("path")).alias("filename"), F.col("path").alias("full_path"), F.col("length").alias("size")).distinct().orderBy("filename", "full_path")
 
 
 def pdf_names(spark: SparkSession, folder: str) -> DataFrame:
     return inventory(spark, folder).select("filename")
 
 
-def count_files(spark: SparkSession, folder: str, suffix: str | None = None) -> int:
-    """Files below folder, of a suffix in any case if one is given."""
+def count_files(spark: SparkSession, folder: str, suffix: str | None = None, folders: bool = False) -> int:
+    """Files below folder, of a suffix in any case if one is given; with folders, folders below it too."""
+    if folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at)
+        return found.getFileCount() + found.getDirectoryCount() - 1
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
     return (files.where(F.lower("path").endswith(suffix.lower())) if suffix else files).count()
 

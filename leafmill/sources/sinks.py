@@ -1,4 +1,4 @@
-"""Sinks: JSON lines, texts, results by folder and category, and the trees as they came."""
+"""Sinks: JSON lines, texts, results by folder and category, and whole trees with sections attached."""
 
 from __future__ import annotations
 
@@ -33,18 +33,25 @@ def write_results(results: DataFrame, path: str, folder_col: str = "folder", cat
     keyed.write.mode("append").partitionBy("folder", "category").json(path)
 
 
-def trees_of(nodes: DataFrame) -> DataFrame:
-    """(doc_id and one array a node kind): trees in reading order with sections attached, from `attach_sections` and its edges."""
-    node = F.struct(
-        F.col("ord"), F.col("self_ref"), F.struct(F.coalesce("section_ref", "parent_ref").alias("$ref")).alias("parent"),
-        F.transform(F.coalesce("children", F.array().cast("array<string>")), lambda x: F.struct(x.alias("$ref"))).alias("children"), F.col("label"), F.col("text"), F.col("page_no"), F.col("l"), F.col("t"), F.col("r"), F.col("b"),
-    )
-    arrays = [F.sort_array(F.collect_list(F.when(F.col("array_type") == a, node))).alias(a) for a in schemas.ARRAYS]
-    return nodes.groupBy("doc_id").agg(*arrays)
+def trees_of(nodes: DataFrame, trees: DataFrame) -> DataFrame:
+    """The trees with sections attached: everything of `trees`, its arrays in reading order with the parents and children of `with_children`.
 
+    Nodes keep all their fields (cells and grids, character spans, markers, levels); a node
+    outside any section keeps its own parent.  A tree without nodes keeps its empty arrays.
+    """
+    kind = nodes.schema["node"].dataType
+    one = lambda ref: F.when(ref.isNotNull(), F.struct(ref.alias("$ref"))).cast(kind["parent"].dataType)
+    kids = F.transform("children", lambda x: F.struct(x.alias("$ref"))).cast(kind["children"].dataType)
+    node = F.col("node").withField("parent", one(F.coalesce("section_ref", "parent_ref"))).withField("children", kids)
+    whole = [F.transform(F.array_sort(F.collect_list(F.when(F.col("array_type") == a, F.struct("ord", node.alias("node")))), lambda x, y: x["ord"] - y["ord"]), lambda x: x["node"]).alias(f"_{a}") for a in schemas.ARRAYS]
+    made = nodes.groupBy("doc_id").agg(*whole)
+    arrays = {a: F.coalesce(F.when(F.size(f"_{a}") > 0, F.col(f"_{a}")), F.col(a)).alias(a) for a in schemas.ARRAYS}
+    return trees.join(made, "doc_id", "left").select(*(arrays.get(c, F.col(c)) for c in trees.columns))
 
-def write_trees(nodes: DataFrame, path: str) -> None:
-    trees_of(nodes).write.mode("overwrite").json(path)
+
+def write_trees(nodes: DataFrame, trees: DataFrame, path: str) -> None:
+    """`trees_of` as JSON lines, a tree a line; `read_trees` with lines=True reads them back."""
+    trees_of(nodes, trees).write.mode("overwrite").json(path)
 
 
 def write_phrases(phrases: DataFrame, path: str) -> None:

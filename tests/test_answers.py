@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,13 +52,23 @@ def test_inventory_groups_and_paths(spark, tmp_path):
     assert sorted((r.filename, r.size) for r in inv.collect()) == [("a.pdf", 5), ("a.pdf", 5), ("b.PDF", 5)]
     assert files.pdf_names(spark, str(tmp_path)).count() == 3
     assert files.count_files(spark, str(tmp_path)) == 4 and files.count_files(spark, str(tmp_path), ".PDF") == 3
-    g = answers.group_by_folder(inv).orderBy("root_folder_path").collect()
+    assert [r.filename for r in inv.collect()] == ["a.pdf", "a.pdf", "b.PDF"] and inv.first().full_path.endswith("x/a.pdf")
+    assert files.count_files(spark, str(tmp_path), folders=True) == 6
+    g = answers.group_by_folder(inv).collect()
     assert [len(r.pdf_paths) for r in g] == [2, 1] and g[0].pdf_paths == sorted(g[0].pdf_paths)
     f = spark.createDataFrame([("/data/x/a.pdf",), ("/data/x/b.PDF",), ("/data/x/c.pdf",)], "full_path string")
     t = spark.createDataFrame([("/out/x/a/a.json",), ("/out/x/b.json",), ("/out/x/b/b.json",)], "path string")
     assert {r.full_path: r.tree_path for r in answers.with_tree_paths(f, t).collect()} == {"/data/x/a.pdf": "/out/x/a/a.json", "/data/x/b.PDF": "/out/x/b.json", "/data/x/c.pdf": "/out/x/c.json"}
 
 
+def test_first_object_of_a_file(spark, tmp_path):
+    for name, x in (("list", '[{"a": "' + "x" * 400 + '", "b": [1, "y"]}, {"a": 2}]'), ("one", ' {"a": {"b": "é"}}'), ("none", "[]")):
+        (tmp_path / name).write_text(x)
+    assert json.loads(files.first_object(spark, str(tmp_path / "list"))) == {"a": "x" * 300 + "...", "b": [1, "y"]}
+    assert json.loads(files.first_object(spark, str(tmp_path / "one"))) == {"a": {"b": "é"}}
+    assert files.first_object(spark, str(tmp_path / "none")) == ""
+
+
 def test_extraction_and_phrases(spark):
     docs = spark.createDataFrame([("a", bytearray(b"one|two")), ("b", bytearray(b"!"))], "path string, content binary")
 
@@ -116,6 +128,63 @@ def test_models(spark):
     assert not models.Prompted(lambda p: "YES.").equivalent("a", "b") and not models.Prompted(lambda p: 1 / 0).equivalent("a", "b")
 
 
+class Counting:
+    """Writes a line a call, whichever process makes it."""
+
+    def __init__(self, path):
+        self.path = path
+
+    def _note(self, *what):
+        with open(self.path, "a") as f:
+            f.write(repr(what) + "\n")
+
+    def answer(self, question, context):
+        self._note("answer", question, context)
+        return "42"
+
+    def equivalent(self, a, b):
+        self._note("equivalent", a, b)
+        return True
+
+    def evidence(self, question, answer, sentences):
+        self._note("evidence", question, answer, *sentences)
+        return [1]
+
+
+def test_each_input_is_asked_once_and_blank_ones_never(spark, tmp_path):
+    log = tmp_path / "calls"
+    models.register("counting", lambda path=str(log): Counting(path))
+    rows = [(i, "q", "the same section") for i in range(500)] + [(i, "q", None) for i in range(500, 1000)] + [(1000, "q", " \n"), (1001, None, "other")]
+    got = models.ask(spark.createDataFrame(rows, "doc_id int, question string, context string").repartition(8), model="counting").collect()
+    assert len(got) == 1002 and sum(r.llm_answer == "42" for r in got) == 501
+    assert sorted(log.read_text().splitlines()) == ["('answer', '', 'other')", "('answer', 'q', 'the same section')"]
+    log.unlink()
+    pairs = spark.createDataFrame([(i % 7, "42" if i % 2 else None, "42") for i in range(100)], "doc_id int, a string, b string")
+    assert sum(r.is_equivalent for r in models.judged(pairs, "a", "b", model="counting").collect()) == 50
+    assert log.read_text().splitlines() == ["('equivalent', '42', '42')"]
+
+
+def test_unanswered_pairs_spread(spark):
+    """No partition gets a large part of the rows that share one question and have no context."""
+    rows = spark.range(4000).select(F.col("id").cast("string").alias("doc_id"), F.lit("q").alias("question"), F.when(F.col("id") % 100 == 0, F.concat(F.lit("text "), F.col("id").cast("string"))).alias("context"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sizes = [r[1] for r in models.ask(rows).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(sizes) == 4 and max(sizes) < 1.3 * 4000 / 4
+
+
+def test_what_a_prompted_backend_is_sent(spark):
+    sent = []
+    m = models.Prompted(lambda p: sent.append(p) or "YES")
+    m.answer("Who?", "Section text."), m.equivalent("a", "b"), m.evidence("Who?", "He.", ["One.", "Two."])
+    for prompt, parts in zip(sent, (("context only", "Question: Who?", "Context: Section text."), ("YES or NO", "1: a", "2: b"), ("numbers only", "Question: Who?", "Answer: He.", "1: One.\n2: Two."))):
+        assert all(p in prompt for p in parts)
+
+
 def test_provenance_and_its_sinks(spark, tmp_path):
     turns = [("d/e", 0, "h", "Intro"), ("d/e", 1, "t", "Nothing. The answer is 42. More."), ("d/e", 2, "h", "End"), ("d/e", 3, "t", " "), ("f", 0, "t", "no header")]
     df = spark.createDataFrame(turns, "doc string, pos int, kind string, s string")
@@ -140,7 +209,9 @@ def test_provenance_and_its_sinks(spark, tmp_path):
     assert sinks.without_done(pairs, back.where("doc_id = 'f'"), ["doc_id", "question"]).count() == 2
 
 
-def test_passages_held_to_the_letter(spark):
+@pytest.mark.parametrize("held", [provenance.HELD, 0])
+def test_passages_held_to_the_letter(spark, monkeypatch, held):
+    monkeypatch.setattr(provenance, "HELD", held)
     import random
 
     rng = random.Random(0)

@@ -93,11 +93,40 @@ def test_kinds_children_and_key_values(spark, tmp_path):
     report = nodes.tree_report(n).orderBy("pos").collect()
     assert len(report) == 5 and report[0].header == "H" * 60 + "..." and report[0].n_children == 5
     assert nodes.orphans(n).count() == 0 and nodes.unattached(n).count() == 0
-    written = sinks.trees_of(nodes.with_children(n)).first()
+    trees = files.read_trees(spark, str(tmp_path))
+    written = sinks.trees_of(nodes.with_children(n), trees).first()
     assert [c["$ref"] for c in written.texts[0].children] == [k.child_ref for k in kids]
     assert written.pictures[0].parent["$ref"] == "#/texts/0"
-    sinks.write_trees(nodes.with_children(n), str(tmp_path / "out"))
-    assert files.read_json(spark, str(tmp_path / "out")).count() == 1
+
+
+def test_whole_trees_round_trip(spark, tmp_path):
+    """Only parents, children and the order within arrays change; all other fields come back as they were."""
+    made = {f"t{i}": tr.random_tree(i) for i in range(12)} | {"empty": tr.tree()}
+    box = tr.cell("b", 0, 1, 9.0, 5.0)
+    more = {"content_layer": "body", "orig": "O", "marker": "-", "enumerated": True, "level": 3}
+    made["full"] = tr.tree(
+        texts=[tr.node("#/texts/1", "list_item", "x", 2, 5.0, **more), tr.node("#/texts/0", "section_header", "H", 1, 5.0, **more)],
+        tables=[tr.node("#/tables/0", "table", None, 1, 4.0, captions=[{"$ref": "#/texts/1"}], footnotes=[], references=[], annotations=[{"k": "v"}], data={"table_cells": [box], "num_rows": 1, "num_cols": 2, "grid": [[box, box]]})],
+    )
+    (tmp_path / "in").mkdir()
+    tr.write(tmp_path / "in", made)
+    trees = files.read_trees(spark, str(tmp_path / "in")).withColumn("doc_id", nodes.F.regexp_extract("doc_id", r"([^/]+)\.json$", 1))
+    sinks.write_trees(nodes.with_children(nodes.attach_sections(nodes.explode_nodes(trees))), trees, str(tmp_path / "out"))
+    back = {r.doc_id: r.asDict(True) for r in files.read_trees(spark, str(tmp_path / "out"), lines=True).collect()}
+    given = {r.doc_id: r.asDict(True) for r in trees.collect()}
+    assert back.keys() == given.keys() == made.keys()
+    for name, t in made.items():
+        order, kids = tr.attached(t)
+        place = {ref: i for i, (ref, _) in enumerate(order)}
+        section = dict(order)
+        for a in tr.ARRAYS:
+            for n in given[name][a]:
+                header = n["label"] == "section_header"
+                n["parent"] = {"$ref": section[n["self_ref"]]} if section[n["self_ref"]] else n["parent"]
+                n["children"] = [{"$ref": c} for c in kids[n["self_ref"]]] if header else n["children"]
+            given[name][a].sort(key=lambda n: place[n["self_ref"]])
+        assert back[name] == given[name], name
+    assert back["full"]["tables"][0]["data"]["grid"][0][1]["text"] == "b" and back["full"]["texts"][1]["prov"][0]["charspan"] == [0, 1]
 
 
 def test_hash_beyond_64_bits(spark, tmp_path):
