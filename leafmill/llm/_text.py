@@ -7,6 +7,8 @@ same word.  Words are represented by 64-bit hashes.  Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -151,6 +153,17 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
         j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    trim()
+
+
+_LIBC = ctypes.CDLL(None) if sys.platform == "linux" else None
+
+
+def trim() -> None:
+    """Give memory that a batch has left free back to the system: a task's Python process goes on with other stages."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
 
 
 def ngram(h: np.ndarray, n: int) -> np.ndarray:

@@ -273,8 +273,8 @@ def trained(words: DataFrame, path: str = VOCABULARY, iterations: int = ITERATIO
     voc = vocabulary(path)
     score = voc.initial
     for _ in range(iterations):
-        got = words.mapInArrow(_expectation(path, score), "part int, total binary").groupBy("part").applyInArrow(_sum, "part int, total binary").first()
-        count = np.frombuffer(got.total) if got else np.zeros(len(score))
+        got = words.mapInArrow(_expectation(path, score), "part int, total binary").groupBy("part").applyInArrow(_sum, "part int, total binary").collect()
+        count = np.frombuffer(got[0].total) if got else np.zeros(len(score))
         count = np.where(np.isfinite(voc.initial), count + PRIOR, 0)
         with np.errstate(divide="ignore"):
             score = np.log(count / count.sum())

@@ -34,6 +34,8 @@ U64 = np.uint64
 MIN_WORDS = 50
 #: Words of a shard; one document may be longer, and is then a shard of its own.
 SHARD_WORDS = 1 << 19
+#: Bytes of keys that a task merges, about; with documents it holds some eight times as much.
+RANGE = 16 << 20
 _TOP = U64(1 << 63)
 
 
@@ -305,7 +307,9 @@ def _spans(min_words: int) -> Callable:
 
 def _judged(shards: DataFrame) -> DataFrame:
     """shards with column parts: the verdicts on their classes, by range of keys."""
-    bits = max(1, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2 - 1).bit_length()
+    total = shards.agg(F.coalesce(F.sum(F.length("keys")), F.lit(0))).first()[0]
+    # as many ranges as keep a range within RANGE, and all tasks busy
+    bits = max(total // RANGE, int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2 - 1, 1).bit_length()
     verdict = (
         shards.select("shard", "size", "keys", "docs").mapInArrow(_ranges(bits), "shard string, bucket int, keys binary, low binary, high binary")
         .groupBy("bucket").applyInArrow(_merge, "shard string, bucket int, n int, shared binary, least binary")

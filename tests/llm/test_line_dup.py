@@ -63,3 +63,10 @@ def test_hosts(spark):
     from pyspark.sql import functions as F
 
     assert {r.url: r.h for r in df.select("url", line_dup.host_of(F.col("url")).alias("h")).collect()} == urls
+
+
+def test_very_long_texts(make):
+    own = [f"line {i} of its own" for i in range(200_000)]
+    data = [(0, "\n".join([*own, "Shared footer"] * 2), "h")] + [(i, f"text {i}\nShared footer", "h") for i in range(1, 12)]
+    got = {r.doc_id: r.text for r in line_dup.drop_boilerplate(make(data)).collect()}
+    assert got[0] == "\n".join(own * 2) and got[5] == "text 5"

@@ -98,3 +98,16 @@ def test_empty_table_and_bad_parameter(make):
     assert suffix_dup.repeated_passages(make([])).collect() == []
     with pytest.raises(ValueError):
         suffix_dup.repeated_passages(make([]), min_words=1)
+
+
+def test_ranges_follow_the_keys(make, prose, monkeypatch):
+    rows = [(i, " ".join(prose(120, i % 20) + prose(30, 100 + i))) for i in range(40)]
+    whole = sorted(map(tuple, suffix_dup.repeated_passages(make(rows)).collect()))
+    monkeypatch.setattr(suffix_dup, "RANGE", 64)
+    assert sorted(map(tuple, suffix_dup.repeated_passages(make(rows)).collect())) == whole and len(whole) == 40
+
+
+def test_very_long_texts(make, prose):
+    shared = prose(60_000, 1)
+    rows = [(1, " ".join(prose(100_000, 2) + shared)), (2, " ".join(shared + prose(150_000, 3))), (3, " ".join(prose(1000, 4)))]
+    assert sorted(map(tuple, suffix_dup.repeated_passages(make(rows)).collect())) == [(1, 100_000, 60_000, 1), (2, 0, 60_000, 1)]
