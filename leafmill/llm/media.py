@@ -4,12 +4,18 @@ Files are read through their RIFF index (idx1, or a walk over the movi lists whe
 missing or wrong), frames are decoded by a baseline JPEG decoder (intra frames only, as
 motion-JPEG has no others), and a shot ends where the difference of luma histograms
 stands out against the differences around it.
+
+The decoder takes many frames, of many files, in lockstep: each step of its numpy loop
+reads one Huffman symbol of every frame (of every restart segment), so its cost a symbol is
+a few array operations shared by all.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +25,8 @@ from pyspark.sql import functions as F
 BINS = 32
 #: A cut differs by more than the median plus DEVIATIONS robust standard deviations of the AROUND differences on either side, and by FLOOR of the pixels at least.
 DEVIATIONS, AROUND, FLOOR = 5.0, 6, 0.2
+#: Luma blocks that are decoded together, about; a larger frame is alone.
+BLOCKS = 1 << 17
 
 ZIGZAG = np.array([int(x) for x in "0 1 8 16 9 2 3 10 17 24 32 25 18 11 4 5 12 19 26 33 40 48 41 34 27 20 13 6 7 14 21 28 35 42 49 56 57 50 43 36 29 22 15 23 30 37 44 51 58 59 52 45 38 31 39 46 53 60 61 54 47 55 62 63".split()])
 _K = np.arange(8)
@@ -47,64 +55,36 @@ def _codes(counts: bytes, symbols: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-def _lookup(counts: bytes, symbols: bytes) -> list[int]:
+@functools.lru_cache(64)
+def _lookup(counts: bytes, symbols: bytes) -> np.ndarray:
     """bits << 8 | symbol by the next 16 bits; 0 for no code."""
-    table = np.zeros(1 << 16, np.int64)
+    table = np.zeros(1 << 16, np.int32)
     for code, bits, symbol in _codes(counts, symbols):
         table[code << (16 - bits) : (code + 1) << (16 - bits)] = bits << 8 | symbol
-    return table.tolist()
-
-
-_cache: dict[tuple[bytes, bytes], list[int]] = {}
-
-
-def _table(key: tuple[bytes, bytes]) -> list[int]:
-    if key not in _cache:
-        if len(_cache) > 64:
-            _cache.clear()
-        _cache[key] = _lookup(*key)
-    return _cache[key]
-
-
-class _Bits:
-    def __init__(self, data: bytes):
-        self.data, self.at, self.acc, self.n = data, 0, 0, 0
+    return table
 
-    def need(self, n: int) -> None:
-        while self.n < n:
-            chunk = self.data[self.at : self.at + 8]
-            self.at += 8
-            self.acc = (self.acc & ((1 << self.n) - 1)) << 64 | int.from_bytes(chunk.ljust(8, b"\0"), "big")
-            self.n += 64
-            if self.at > len(self.data) + 64:
-                raise Broken("frame ends early")
 
-    def symbol(self, table: list[int]) -> int:
-        self.need(16)
-        x = table[(self.acc >> (self.n - 16)) & 0xFFFF]
-        if not x:
-            raise Broken("no such code")
-        self.n -= x >> 8
-        return x & 255
+@dataclass
+class _Frame:
+    """What a frame's header says, and its entropy-coded segments."""
 
-    def value(self, size: int) -> int:
-        if not size:
-            return 0
-        self.need(size)
-        self.n -= size
-        x = (self.acc >> self.n) & ((1 << size) - 1)
-        return x if x >> (size - 1) else x - (1 << size) + 1
+    units: list[tuple[int, int, tuple[bytes, bytes], tuple[bytes, bytes]]]  # (component, block of it, DC table, AC table) of each block of an MCU
+    wide: int  # luma blocks of an MCU, across and down
+    high: int
+    across: int  # MCUs
+    down: int
+    restart: int
+    quant: np.ndarray
+    top: int  # rows and columns of the luma plane
+    left: int
+    segments: list[bytes]
 
+    @property
+    def blocks(self) -> int:
+        return self.across * self.wide * self.down * self.high
 
-def luma(data: bytes) -> np.ndarray:
-    """The luma plane (uint8) of a baseline JPEG; raises Broken where it isn't one."""
-    try:
-        return _luma(data)
-    except (ArithmeticError, LookupError, ValueError, struct.error) as e:
-        raise Broken(str(e)) from e
 
-
-def _luma(data: bytes) -> np.ndarray:
+def _header(data: bytes) -> _Frame:
     if data[:2] != b"\xff\xd8":
         raise Broken("no start of image")
     quant: dict[int, np.ndarray] = {}
@@ -123,6 +103,8 @@ def _luma(data: bytes) -> np.ndarray:
             while body:
                 wide = body[0] >> 4
                 q = np.frombuffer(body[1 : 65 + 64 * wide], ">u2" if wide else np.uint8).astype(float)
+                if len(q) != 64:
+                    raise Broken("quantisation table ends early")
                 quant[body[0] & 15], body = q, body[65 + 64 * wide :]
         elif kind == 0xC4:
             while body:
@@ -137,53 +119,127 @@ def _luma(data: bytes) -> np.ndarray:
             break
         elif kind in (0xC2, 0xC3, *range(0xC5, 0xC8), *range(0xC9, 0xD0), 0xD9):
             raise Broken("not baseline")
-    if not parts or not width or not height:
+    if not parts or len(parts) > 4 or not width or not height:
         raise Broken("no size")
     use = {body[1 + 2 * k]: body[2 + 2 * k] for k in range(body[0])}
     if len(parts) == 1:
         parts = [(parts[0][0], 1, 1, parts[0][3])]
     wide, high = max(p[1] for p in parts), max(p[2] for p in parts)
     across, down = -(-width // (8 * wide)), -(-height // (8 * high))
+    units = [(k, b, huff[(0, use[i] >> 4)], huff[(1, use[i] & 15)]) for k, (i, h, v, _) in enumerate(parts) for b in range(h * v)]
     segments = _segments(data, at)
     # a block takes two bits at least, so a damaged size costs no memory
-    if across * down * sum(h * v for _, h, v, _ in parts) > 4 * sum(map(len, segments)):
+    if not 0 < len(units) <= 10 or not parts[0][1] * parts[0][2] or across * down * len(units) > 4 * sum(map(len, segments)):
         raise Broken("frame ends early")
-    blocks = np.zeros((down * parts[0][2], across * parts[0][1], 64))
-    plan = [(k, h, v, _table(huff[(0, use[i] >> 4)]), _table(huff[(1, use[i] & 15)])) for k, (i, h, v, _) in enumerate(parts)]
-    bits, last, segment = _Bits(segments[0]), [0] * len(parts), 0
-    for mcu in range(across * down):
-        if restart and mcu and mcu % restart == 0:
-            segment += 1
-            bits, last = _Bits(segments[segment]), [0] * len(parts)
-        y, x = divmod(mcu, across)
-        for k, h, v, dc, ac in plan:
-            for b in range(h * v):
-                last[k] += bits.value(bits.symbol(dc))
-                own = blocks[y * v + b // h, x * h + b % h] if k == 0 else None
-                if own is not None:
-                    own[0] = last[k]
-                place = 1
-                while place < 64:
-                    s = bits.symbol(ac)
-                    run, size = s >> 4, s & 15
-                    if not size:
-                        if run != 15:
-                            break
-                        place += 16
-                        continue
-                    place += run
-                    value = bits.value(size)
-                    if own is not None:
-                        own[place] = value
-                    place += 1
-    if bits.at - bits.n // 8 > len(bits.data) + 8:
+    if restart and len(segments) < -(-across * down // restart):
         raise Broken("frame ends early")
-    coef = np.zeros_like(blocks)
-    coef[..., ZIGZAG] = blocks * quant[parts[0][3]]
-    pixel = _COS @ coef.reshape(*coef.shape[:2], 8, 8) @ _COS.T + 128
-    plane = pixel.transpose(0, 2, 1, 3).reshape(coef.shape[0] * 8, -1)
-    top, left = -(-height * parts[0][2] // high), -(-width * parts[0][1] // wide)
-    return np.clip(np.rint(plane), 0, 255).astype(np.uint8)[:top, :left]
+    for _, _, dc, ac in units:
+        _lookup(*dc), _lookup(*ac)
+    _, h, v, q = parts[0]
+    return _Frame(units, h, v, across, down, restart, quant[q], -(-height * v // high), -(-width * h // wide), segments)
+
+
+def _coefficients(frames: list[_Frame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(luma coefficients of all blocks, in zigzag order; each frame's first block; whether each frame was whole)."""
+    tables = {key: i for i, key in enumerate(dict.fromkeys(t for f in frames for u in f.units for t in u[2:]))}
+    table = np.concatenate([_lookup(*key) for key in tables])
+    size = np.array([len(f.units) for f in frames])
+    dc, ac, part, place = (np.zeros((len(frames), 10), np.int64) for _ in range(4))
+    for i, f in enumerate(frames):
+        for u, (k, b, d, a) in enumerate(f.units):
+            dc[i, u], ac[i, u], part[i, u], place[i, u] = tables[d] << 16, tables[a] << 16, k, b
+    wide, high, across = (np.array([getattr(f, x) for f in frames]) for x in ("wide", "high", "across"))
+    first = np.concatenate([[0], np.cumsum([f.blocks for f in frames])])
+    own, begin, end, mcu, stop, data, at = [], [], [], [], [], [], 0
+    for i, f in enumerate(frames):
+        total = f.across * f.down
+        step = f.restart or total
+        for k, lo in enumerate(range(0, total, step)):
+            own.append(i), begin.append(8 * at), end.append(8 * (at + len(f.segments[k]) + 8)), mcu.append(lo), stop.append(min(lo + step, total))
+            data += [f.segments[k], bytes(16)]
+            at += len(f.segments[k]) + 16
+    buf = np.frombuffer(b"".join(data), np.uint8)
+    own, pos, end, mcu, stop = (np.array(x, np.int64) for x in (own, begin, end, mcu, stop))
+    unit, coef = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64)  # block of the MCU, place in it
+    last = np.zeros((len(own), 4), np.int64)
+    out, whole = np.zeros(first[-1] * 64, np.int32), np.ones(len(frames), bool)
+    go = np.arange(len(own))
+    while len(go):
+        f, u, c, p = own[go], unit[go], coef[go], pos[go]
+        byte = p >> 3
+        w = buf[byte].astype(np.int64)
+        for k in range(1, 5):
+            w = w << 8 | buf[byte + k]
+        off, is_dc = p & 7, c == 0
+        x = table[np.where(is_dc, dc[f, u], ac[f, u]) + ((w >> (24 - off)) & 0xFFFF)].astype(np.int64)
+        bits, symbol = x >> 8, x & 255
+        n, run = symbol & 15, symbol >> 4
+        raw = (w >> (40 - off - bits - n)) & ((1 << n) - 1)
+        value = np.where(raw >> np.maximum(n - 1, 0) > 0, raw, raw - (1 << n) + 1)
+        p = p + bits + n
+        k = part[f, u]
+        value[is_dc] = last[go[is_dc], k[is_dc]] = last[go[is_dc], k[is_dc]] + value[is_dc]
+        spot = np.where(is_dc, 0, c + run)
+        some = is_dc | (n > 0)
+        bad = (x == 0) | (p > end[go]) | (is_dc & (run > 0)) | (some & (spot > 63))
+        put = np.flatnonzero(some & (k == 0) & ~bad)
+        g, b, m = f[put], place[f[put], u[put]], mcu[go[put]]
+        y, z = m // across[g] * high[g] + b // wide[g], m % across[g] * wide[g] + b % wide[g]
+        out[(first[g] + y * across[g] * wide[g] + z) * 64 + spot[put]] = value[put]
+        c = np.where(is_dc, 1, np.where(n > 0, spot + 1, np.where(run == 15, c + 16, 64)))
+        done = c >= 64
+        u = u + done
+        turn = u == size[f]
+        coef[go], pos[go], unit[go] = np.where(done, 0, c), p, np.where(turn, 0, u)
+        mcu[go] += turn
+        whole[f[bad]] = False
+        go = go[~bad & (mcu[go] < stop[go])]
+    return out.reshape(-1, 64), first, whole
+
+
+def planes(data: list[bytes]) -> list[np.ndarray | None]:
+    """The luma plane (uint8) of each baseline JPEG; None for one that isn't whole."""
+    out: list[np.ndarray | None] = [None] * len(data)
+    held: list[tuple[int, _Frame]] = []
+
+    def flush() -> None:
+        if not held:
+            return
+        coef, first, whole = _coefficients([f for _, f in held])
+        like: dict[tuple, list[int]] = {}
+        for j, (_, f) in enumerate(held):
+            if whole[j]:
+                like.setdefault((f.down * f.high, f.across * f.wide, f.top, f.left), []).append(j)
+        for (rows, columns, top, left), js in like.items():
+            x = np.zeros((len(js), rows * columns, 64))
+            x[..., ZIGZAG] = np.stack([coef[first[j] : first[j + 1]] for j in js]) * np.stack([held[j][1].quant for j in js])[:, None]
+            pixel = _COS @ x.reshape(len(js), rows, columns, 8, 8) @ _COS.T + 128
+            plane = np.clip(np.rint(pixel.transpose(0, 1, 3, 2, 4).reshape(len(js), rows * 8, columns * 8)), 0, 255).astype(np.uint8)[:, :top, :left]
+            for j, own in zip(js, plane):
+                out[held[j][0]] = own
+        held.clear()
+
+    blocks = 0
+    for i, x in enumerate(data):
+        try:
+            f = _header(x)
+        except (ArithmeticError, LookupError, ValueError, struct.error):
+            continue
+        held.append((i, f))
+        blocks += f.blocks
+        if blocks > BLOCKS or len(held) > 8192:
+            flush()
+            blocks = 0
+    flush()
+    return out
+
+
+def luma(data: bytes) -> np.ndarray:
+    """The luma plane (uint8) of a baseline JPEG; raises Broken where it isn't one."""
+    (plane,) = planes([data])
+    if plane is None:
+        raise Broken("no whole baseline JPEG")
+    return plane
 
 
 def _segments(data: bytes, at: int) -> list[bytes]:
@@ -275,16 +331,23 @@ def histogram(plane: np.ndarray) -> np.ndarray:
 
 def shots(difference: np.ndarray) -> np.ndarray:
     """Frames that begin a shot; difference[k] is that of frame k + 1 to frame k."""
-    cuts = [0]
-    for k, d in enumerate(difference):
-        near = np.concatenate([difference[max(0, k - AROUND) : k], difference[k + 1 : k + 1 + AROUND]])
-        limit = 0.0
-        if len(near):  # other cuts near by don't raise the median
-            middle = np.median(near)
-            limit = middle + DEVIATIONS * 1.4826 * np.median(np.abs(near - middle))
-        if d >= FLOOR and d > min(limit, 0.9):
-            cuts.append(k + 1)
-    return np.array(cuts)
+    n = len(difference)
+    if not n:
+        return np.array([0])
+    padded = np.concatenate([np.full(AROUND, np.nan), difference, np.full(AROUND, np.nan)])
+    near = np.delete(np.lib.stride_tricks.sliding_window_view(padded, 2 * AROUND + 1), AROUND, axis=1)
+    limit = np.zeros(n)
+    some = ~np.isnan(near).all(1)
+    middle = _median(near[some])  # other cuts near by don't raise the median
+    limit[some] = middle + DEVIATIONS * 1.4826 * _median(np.abs(near[some] - middle[:, None]))
+    return np.append(0, np.flatnonzero((difference >= FLOOR) & (difference > np.minimum(limit, 0.9))) + 1)
+
+
+def _median(rows: np.ndarray) -> np.ndarray:
+    """Medians of rows, their NaNs left out."""
+    x, n = np.sort(rows, 1), (~np.isnan(rows)).sum(1)
+    at = np.arange(len(x))
+    return (x[at, (n - 1) // 2] + x[at, n // 2]) / 2
 
 
 def clips(data: bytes | None) -> list[tuple[int, int, int, float, float]]:
@@ -292,22 +355,45 @@ def clips(data: bytes | None) -> list[tuple[int, int, int, float, float]]:
 
     An empty frame repeats the one before it, as the format has it; a broken one is taken the same way.
     """
-    if not data:
-        return []
-    try:
-        seconds, coded = frames(bytes(data))
-    except (Broken, struct.error):
-        return []
-    hist: list[np.ndarray] = []
-    for frame in coded:
+    return clips_of([data])[0]
+
+
+def clips_of(files: list[bytes | None]) -> list[list[tuple[int, int, int, float, float]]]:
+    """`clips` of each file, their frames decoded together."""
+    out: list[list[tuple[int, int, int, float, float]]] = [[] for _ in files]
+    read, waiting = [], 0
+
+    def flush() -> None:
+        hist = [None if x is None or not x.size else histogram(x) for x in planes([x for _, _, coded in read for x in coded])]
+        at = 0
+        for i, seconds, coded in read:
+            out[i] = _shots(seconds, hist[at : at + len(coded)])
+            at += len(coded)
+        read.clear()
+
+    for i, data in enumerate(files):
         try:
-            hist.append(histogram(luma(frame)))
-        except Broken:
-            hist.append(hist[-1] if hist else None)
-    known = [h for h in hist if h is not None]
-    if not known:
+            seconds, coded = frames(bytes(data or b""))
+        except (ArithmeticError, LookupError, ValueError, struct.error):
+            continue
+        read.append((i, seconds, coded))
+        waiting += len(coded)
+        if waiting > 4096:
+            flush()
+            waiting = 0
+    flush()
+    return out
+
+
+def _shots(seconds: float, hist: list[np.ndarray | None]) -> list[tuple[int, int, int, float, float]]:
+    known = next((x for x in hist if x is not None), None)
+    if known is None:
         return []
-    h = np.stack([known[0] if x is None else x for x in hist])
+    filled = []
+    for x in hist:
+        known = known if x is None else x
+        filled.append(known)
+    h = np.stack(filled)
     start = shots(np.abs(np.diff(h, axis=0)).sum(1) / 2)
     end = np.append(start[1:], len(h))
     return [(k, int(a), int(b - a), float(a * seconds), float(b * seconds)) for k, (a, b) in enumerate(zip(start, end))]
@@ -315,11 +401,18 @@ def clips(data: bytes | None) -> list[tuple[int, int, int, float, float]]:
 
 def _clips(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(len(batch)):
-            found = clips(batch.column(1)[k].as_py())
-            if found:
-                columns = list(zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(found), pa.int64()), *(pa.array(x, pa.int64()) for x in columns[:3]), *(pa.array(x, pa.float64()) for x in columns[3:])], ["video_id", "clip", "first_frame", "n_frames", "start_s", "end_s"])
+        at = 0
+        while at < len(batch):  # files of some 32 MB at once, at least one
+            stop, size = at, 0
+            while stop < len(batch) and (stop == at or size < 32 << 20):
+                size += batch.column(1)[stop].as_buffer().size if batch.column(1)[stop].is_valid else 0
+                stop += 1
+            found = clips_of(batch.column(1).slice(at, stop - at).to_pylist())
+            rows = [(i, *c) for i, own in zip(batch.column(0).slice(at, stop - at).to_pylist(), found) for c in own]
+            at = stop
+            if rows:
+                kinds = [pa.int64()] * 4 + [pa.float64()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["video_id", "clip", "first_frame", "n_frames", "start_s", "end_s"])
 
 
 def clip_rows(videos: DataFrame, id_col: str = "video_id", data_col: str = "data") -> DataFrame:
@@ -349,24 +442,25 @@ def jpeg(blocks: np.ndarray, tables: bool = True) -> bytes:
     def number(v: int, size: int) -> None:
         put(v if v >= 0 else v + (1 << size) - 1, size)
 
-    for block in blocks.reshape(-1, 64).tolist():
-        d, last = block[0] - last, block[0]
+    flat = blocks.reshape(-1, 64)
+    row, place = np.nonzero(flat[:, 1:])
+    cut = np.searchsorted(row, np.arange(len(flat) + 1)).tolist()
+    spots, values = (place + 1).tolist(), flat[row, place + 1].tolist()
+    for i, level in enumerate(flat[:, 0].tolist()):
+        d, last = level - last, level
         size = abs(d).bit_length()
         put(*dc[size])
         number(d, size)
-        run = 0
-        for v in block[1:] if any(block[1:]) else ():
-            if v:
-                while run > 15:
-                    put(*ac[0xF0])
-                    run -= 16
-                size = abs(v).bit_length()
-                put(*ac[run << 4 | size])
-                number(v, size)
-                run = 0
-            else:
-                run += 1
-        if run or not any(block[1:]):
+        at = 1
+        for spot, v in zip(spots[cut[i] : cut[i + 1]], values[cut[i] : cut[i + 1]]):
+            while spot - at > 15:
+                put(*ac[0xF0])
+                at += 16
+            size = abs(v).bit_length()
+            put(*ac[spot - at << 4 | size])
+            number(v, size)
+            at = spot + 1
+        if at < 64:
             put(*ac[0])
     pad = -n % 8
     put((1 << pad) - 1, pad)
