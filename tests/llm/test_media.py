@@ -123,6 +123,7 @@ def test_damaged_files_never_raise():
     """Bytes changed, cut out or cut off anywhere, in files and in bare frames: clips or nothing, and no other error."""
     rng = np.random.default_rng(5)
     whole, frame = media.avi(film([2, 2]), 16, 16), media.jpeg(blocks(rng.integers(0, 256, (16, 16))))
+    files, bare = [], []
     for n in range(3000):
         data = bytearray(whole if n % 3 else frame)
         for _ in range(int(rng.integers(1, 6))):
@@ -134,13 +135,18 @@ def test_damaged_files_never_raise():
                 del data[at : at + int(rng.integers(1, 9))]
             elif len(data) > 40:
                 del data[max(40, at) :]
-        if n % 3:
-            assert all(c[2] > 0 for c in media.clips(bytes(data)))
-        else:
-            try:
-                assert media.luma(bytes(data)).dtype == np.uint8
-            except media.Broken:
-                pass
+        (files if n % 3 else bare).append(bytes(data))
+    together = media.clips_of(files)
+    assert len(together) == len(files) and all(c[2] > 0 for own in together for c in own)
+    planes = media.planes(bare)
+    assert len(planes) == len(bare) and all(x is None or x.dtype == np.uint8 for x in planes)
+    # damage in one leaves the others decoded with it as they are alone
+    assert all(media.clips(files[i]) == together[i] for i in range(0, len(files), 25))
+    for x, own in list(zip(bare, planes))[::25]:
+        try:
+            assert (media.luma(x) == own).all()
+        except media.Broken:
+            assert own is None
 
 
 def test_wide_quantisation_tables_and_sizes():
