@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from leafmill.batches import slices
 from leafmill.functions import text
 
 
@@ -95,7 +96,7 @@ def _mapped(df: DataFrame, columns: list[str], when: Column, out: str, kind: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = make()
-        for batch in batches:
+        for batch in slices(batches):
             got = [call(own, row) for row in zip(*(batch.column(c).to_pylist() for c in columns))]
             yield pa.RecordBatch.from_arrays([batch.column("_key"), batch.column("_check"), pa.array(got, _ARROW[kind])], ["_key", "_check", out])
 

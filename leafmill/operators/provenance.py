@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.batches import slices, small
 from leafmill.functions import text
 from leafmill.operators import models, nodes
 from leafmill.store import written
@@ -32,20 +33,22 @@ def search(pairs: DataFrame, sections: DataFrame, model: str = "containment") ->
 def provenance(attached: DataFrame, pairs: DataFrame, raw_texts: DataFrame, tables: DataFrame | None = None, model: str = "containment") -> DataFrame:
     """One row for each (doc_id, question): the model's answer from the raw text, and provenance_nodes in id order.
 
-    raw_texts has (doc_id, raw_text); pairs without an answer get an empty list.
+    raw_texts has (doc_id, raw_text); pairs without an answer get an empty list.  What calls
+    a model is written at once, so that Python gets batches of few bytes.
     """
-    pairs, sections = written(pairs), written(nodes.section_texts(attached, tables))
+    with small(pairs.sparkSession):
+        pairs, sections = written(pairs), written(nodes.section_texts(attached, tables))
+        found = written(models.supported(search(pairs, sections.drop("page_no"), model), "question", "llm_answer", "complete_text", model=model))
+        # a pair without an answer has no text to ask, so no call
+        given = pairs.join(raw_texts, "doc_id", "left").withColumn("raw_text", F.when(F.col("answer").isNotNull(), F.col("raw_text")))
+        everything = written(models.ask(given, "question", "raw_text", "llm_global_answer", model).drop("raw_text"))
     info = nodes.positions(attached)
-    found = models.supported(search(pairs, sections.drop("page_no"), model), "question", "llm_answer", "complete_text", model=model)
     hits = found.join(info, ["doc_id", "self_ref"])
     node = F.struct(
         F.col("rank").alias("_rank"), F.col("self_ref").alias("node_id"), F.col("complete_text").alias("node_text"), "llm_answer", "node_summary", F.col("text").alias("header_text"),
         F.col("page_no").cast("int").alias("page_no"), F.col("total_pages").cast("int").alias("total_pages"), F.col("rank").cast("int").alias("tree_node"), F.col("total").cast("int").alias("tree_header_num"),
     )
     per = hits.groupBy("doc_id", "question").agg(F.transform(F.sort_array(F.collect_list(node)), lambda x: x.dropFields("_rank")).alias("provenance_nodes"))
-    # a pair without an answer has no text to ask, so no call
-    given = pairs.join(raw_texts, "doc_id", "left").withColumn("raw_text", F.when(F.col("answer").isNotNull(), F.col("raw_text")))
-    everything = models.ask(given, "question", "raw_text", "llm_global_answer", model).drop("raw_text")
     empty = F.array().cast(per.schema["provenance_nodes"].dataType)
     return everything.join(per, ["doc_id", "question"], "left").withColumn("provenance_nodes", F.coalesce("provenance_nodes", empty))
 
@@ -82,7 +85,7 @@ def _automaton(passages: tuple[str, ...]) -> ahocorasick.Automaton:
 def _holding(passages: tuple[str, ...]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _automaton(passages)
-        for batch in batches:
+        for batch in slices(batches):
             row, place = [], []
             for k, s in enumerate(batch.column("text").to_pylist()):
                 found = sorted({i for _, i in own.iter(s)}) if s else ()
